@@ -25,8 +25,12 @@ STEMS, WORDS = range(3, 10), range(3, 25)
 FUZZY_FROM = 5
 #: Words around a hit in which another, outside quotation, makes it abuse; weight of a quoted hit without one, and of a misspelled one.
 AROUND, QUOTE_WEIGHT, FUZZY_WEIGHT = 8, 0.3, 0.5
-#: Evidence is counted up to this, in steps of 1 / STEP; a score is the logistic of its distance from the threshold.
-MOST, STEP = 40.0, 4
+#: A term's least weight, and that of a term whose misspellings count.
+LEAST, FUZZY_LEAST = math.log(10), math.log(40)
+#: Evidence is that of the TOP strongest hits, so that a long text isn't the worse for its length; it is counted in steps
+#: of 1 / STEP. A score is the logistic of its distance from the threshold.
+TOP, STEP = 3, 4
+MOST = 40.0
 REMEMBERED = 300_000
 
 
@@ -49,6 +53,7 @@ class Lexicon:
     trie: dict = field(default_factory=dict)
     heads: set = field(default_factory=set)
     tails: set = field(default_factory=set)
+    ordinary: set = field(default_factory=set)
     known: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -57,7 +62,7 @@ class Lexicon:
             for c in plain:
                 node = node.setdefault(c, {})
             node["*" if stem else "$"] = weight
-            if not stem and len(plain) >= FUZZY_FROM:
+            if not stem and len(plain) >= FUZZY_FROM and weight >= FUZZY_LEAST:
                 # with one edit between them, a word has the first or the last half of the term at its own start or end
                 self.heads.add(plain[: len(plain) // 2])
                 self.tails.add(plain[len(plain) // 2 :])
@@ -86,7 +91,7 @@ class Lexicon:
         while todo:
             node, row, depth = todo.pop()
             if depth >= FUZZY_FROM and row[n] <= 1:
-                best = max(best, node.get("$", 0.0))
+                best = max(best, w if (w := node.get("$", 0.0)) >= FUZZY_LEAST else 0.0)
             for c, below in node.items():
                 if c in "*$":
                     continue
@@ -97,11 +102,14 @@ class Lexicon:
                     todo.append((below, new, depth + 1))
         return best
 
+    def misspelled(self, word: str) -> bool:
+        return not self.exact(word) and self.fuzzy(word) > 0
+
     def weight(self, word: str) -> float:
         if (found := self.known.get(word)) is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            found = self.exact(word) or (FUZZY_WEIGHT * self.fuzzy(word) if len(word) >= FUZZY_FROM - 1 else 0.0)
+            found = self.exact(word) or (FUZZY_WEIGHT * self.fuzzy(word) if len(word) >= FUZZY_FROM - 1 and word not in self.ordinary else 0.0)
             self.known[word] = found
         return found
 
@@ -132,56 +140,85 @@ class Lexicon:
         return made
 
     def evidence(self, text: str | None) -> float:
-        return min(MOST, sum(w for _, _, w in self.hits(text)))
+        return self.sum(self.hits(text))
+
+    @staticmethod
+    def sum(hits: list[tuple[int, int, float]]) -> float:
+        return min(MOST, sum(sorted((w for _, _, w in hits), reverse=True)[:TOP]))
 
     def score(self, evidence: float) -> float:
         """0.7 or more just where evidence reaches the threshold."""
         return 1 / (1 + math.exp(min(50.0, max(-50.0, self.threshold - evidence - math.log(7 / 3)))))
 
 
+def induce(toxic: dict[str, int], clean: dict[str, int], bad: int, good: int) -> dict[str, float]:
+    """Terms with their weights, from the numbers of toxic and clean texts that hold each, of bad and good texts in all.
+
+    A weight is the log odds that a holder is toxic over those of any text, shrunk by two texts of the usual mixture.
+    Kept are terms of three toxic texts or more, raised odds and few clean holders, unless a shorter stem does as well.
+    """
+    if not bad or not good:
+        return {}
+    share = bad / (bad + good)
+    weight = {t: math.log((n + 2 * share) / (clean.get(t, 0) + 2 * (1 - share)) * (1 - share) / share) for t, n in toxic.items() if n >= 3}
+    strong = {t: w for t, w in weight.items() if w >= LEAST and clean.get(t, 0) <= 0.1 * toxic[t]}
+    terms: dict[str, float] = {}
+    for t in sorted(strong, key=lambda t: (len(t.rstrip("*")), t)):
+        plain = t.rstrip("*")
+        covered = any(terms.get(plain[:k] + "*", 0.0) >= strong[t] - 0.5 for k in STEMS if k < len(plain))
+        if not covered or (not t.endswith("*") and len(plain) >= FUZZY_FROM):
+            terms[t] = strong[t]
+    return terms
+
+
 def learn(labelled: DataFrame, most: int = 15_000, candidates: int = 20_000, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Lexicon:
     """A lexicon from labelled texts (label 0 or 1; null labels teach nothing).
 
-    Fitted on a sample of about `most` rows, by a hash of key, and on the `candidates` terms that the most toxic ones
-    of them hold. A term is kept if three toxic texts or more hold it and the odds are raised twelvefold or more, unless
-    a shorter stem stands for it as well. The driver gets those terms and a histogram of evidence, both bounded.
+    Fitted on a sample of about `most` rows, by a hash of key, and on the `candidates` terms that the most toxic ones of
+    them hold. The threshold comes from crossing over: lexicons of either half of the sample, each run on the other
+    half. Words of clean texts that look like misspelled terms are taken for ordinary ones. The driver gets the terms,
+    at most `candidates` ordinary words, and a histogram of evidence, all bounded.
     """
-    rows = sample_rows(labelled.where(F.col(label).isNotNull()), key, most).select(F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    rows = sample_rows(labelled.where(F.col(label).isin(0, 1)), key, most)
+    rows = rows.select(F.col(label).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit("half"), F.col(key)), F.lit(2)).cast("int").alias("half"), F.col(text).alias("text"))
+    sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
 
-    def count(wanted=None):
-        def run(labels, texts):
+    def tally(y, wanted=None):
+        def run(halves, texts):
             seen: Counter = Counter()
-            for t in texts:
-                seen.update(terms_of(t) if wanted is None else terms_of(t) & wanted)
-            return list(seen), list(seen.values())
+            for h, t in zip(halves, texts, strict=True):
+                found = terms_of(t)
+                seen.update([(w, h) for w in (found if wanted is None else found & wanted)])
+            return [k[0] for k in seen], [k[1] for k in seen], list(seen.values())
 
-        return run
+        made = map_lists(rows.where(F.col("y") == y).select("half", "text"), run, "term string, half int, n long")
+        return made.groupBy("term").agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)])
 
-    def tally(y, wanted=None):
-        return map_lists(rows.where(F.col("y") == y), count(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-    held = tally(1).where("n >= 3").orderBy(F.desc("n"), "term").limit(candidates).collect()
-    toxic = {r["term"]: r["n"] for r in held}
-    clean = {r["term"]: r["n"] for r in tally(0, set(toxic)).collect()} if toxic else {}
-    odds = {t: math.log((n + 0.5) / (bad + 1)) - math.log((clean.get(t, 0) + 0.5) / (good + 1)) for t, n in toxic.items()}
-    strong = {t: w for t, w in odds.items() if w >= math.log(12) and clean.get(t, 0) <= 0.1 * toxic[t]}
-    terms = {}
-    for t in sorted(strong, key=lambda t: (len(t.rstrip("*")), t)):
-        plain = t.rstrip("*")
-        covered = any(terms.get(plain[:k] + "*", 0.0) >= strong[t] - 1.0 for k in STEMS if k < len(plain))
-        if not covered or (not t.endswith("*") and len(plain) >= FUZZY_FROM):
-            terms[t] = strong[t]
-    lexicon = Lexicon(terms)
+    held = tally(1).where("n0 + n1 >= 3").orderBy(F.desc(F.col("n0") + F.col("n1")), "term").limit(candidates).collect()
+    toxic = {r["term"]: (r["n0"], r["n1"]) for r in held}
+    clean = {r["term"]: (r["n0"], r["n1"]) for r in tally(0, set(toxic)).collect()} if toxic else {}
+
+    def of(*halves):
+        count = lambda d: {t: sum(n[h] for h in halves) for t, n in d.items()}
+        return Lexicon(induce(count(toxic), count(clean), *[sum(sizes.get((y, h), 0) for h in halves) for y in (1, 0)]))
+
+    lexicon, crossed = of(0, 1), (of(1), of(0))
+
+    def alike(texts):
+        seen = Counter(w for t in texts for w in set(WORD.findall((t or "").lower())) if len(w) >= FUZZY_FROM - 1 and lexicon.misspelled(w))
+        return list(seen), list(seen.values())
+
+    usual = map_lists(rows.where("y = 0").select("text"), alike, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    ordinary = {r["word"] for r in usual.orderBy(F.desc("n"), "word").limit(candidates).collect()}
+    for x in (lexicon, *crossed):
+        x.ordinary, x.known = ordinary, {}
 
-    def weigh(labels, texts):
-        seen = Counter((y, math.floor(lexicon.evidence(t) * STEP)) for y, t in zip(labels, texts, strict=True))
+    def weigh(labels, halves, texts):
+        seen = Counter((y, math.floor(crossed[h].evidence(t) * STEP)) for y, h, t in zip(labels, halves, texts, strict=True))
         return [k[0] for k in seen], [k[1] for k in seen], list(seen.values())
 
     bins = map_lists(rows, weigh, "y int, e int, n long").groupBy("y", "e").agg(F.sum("n").alias("n")).collect()
     lexicon.threshold = threshold({(r["y"], r["e"]): r["n"] for r in bins})
-    lexicon.known = {}
     return lexicon
 
 
@@ -211,7 +248,7 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
 
     def run(keys, texts):
         found = [lexicon.hits(t) for t in texts]
-        scores = [lexicon.score(min(MOST, sum(w for _, _, w in h))) for h in found]
+        scores = [lexicon.score(lexicon.sum(h)) for h in found]
         spans = [[{"start": s, "end": e, "weight": w} for s, e, w in h] for h in found]
         return keys, scores, [int(s >= 0.7) for s in scores], spans
 
