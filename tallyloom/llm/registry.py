@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, simhash, toxicity
+from . import bpe, decontaminate, langid, media, simhash, toxicity
 from .common import crc_mod, table
 
 
@@ -41,6 +41,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", held, "lang_pred", "score")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds."""
+    docs = table(spark, sf_dir, "documents")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    items = F.coalesce("items", F.array().cast("array<bigint>"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", (F.size(items) > 0).alias("contaminated"), items.alias("item_ids"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a WAV file with its fingerprint, as digests."""
     made = media.media_column(table(spark, sf_dir, "documents"))
@@ -70,5 +78,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op4_language_id, op9_media_columns, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op4_language_id, op5_decontaminate, op9_media_columns, op10_toxicity)}
 ORACLES: dict[str, str] = {}
