@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, media, simhash, toxicity
+from . import bpe, decontaminate, langid, media, secrets, simhash, toxicity
 from .common import crc_mod, table
 
 
@@ -49,6 +49,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", (F.size(items) > 0).alias("contaminated"), items.alias("item_ids"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: counts and digest of the base patterns, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = secrets.listed(F.array_sort(F.concat("base", "added"))).alias("spans")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), spans)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a WAV file with its fingerprint, as digests."""
     made = media.media_column(table(spark, sf_dir, "documents"))
@@ -78,5 +87,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op4_language_id, op5_decontaminate, op9_media_columns, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op4_language_id, op5_decontaminate, op7_secret_scan, op9_media_columns, op10_toxicity)}
 ORACLES: dict[str, str] = {}
