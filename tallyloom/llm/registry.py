@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, media, secrets, simhash, toxicity
+from . import bpe, decontaminate, langid, lines, media, secrets, simhash, toxicity
 from .common import crc_mod, table
 
 
@@ -49,6 +49,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", (F.size(items) > 0).alias("contaminated"), items.alias("item_ids"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines that are the first of their kind: how many there are and stay, and a digest of them."""
+    made = lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document: counts and digest of the base patterns, and all spans."""
     docs = table(spark, sf_dir, "documents")
@@ -87,5 +93,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op4_language_id, op5_decontaminate, op7_secret_scan, op9_media_columns, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op4_language_id, op5_decontaminate, op6_line_dedup, op7_secret_scan, op9_media_columns, op10_toxicity)}
 ORACLES: dict[str, str] = {}
