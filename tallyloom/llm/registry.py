@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, media, secrets, simhash, toxicity
+from . import bpe, decontaminate, html, langid, lines, media, secrets, simhash, toxicity
 from .common import crc_mod, table
 
 
@@ -64,6 +64,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), spans)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    made = html.extract(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a WAV file with its fingerprint, as digests."""
     made = media.media_column(table(spark, sf_dir, "documents"))
@@ -93,5 +99,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op4_language_id, op5_decontaminate, op6_line_dedup, op7_secret_scan, op9_media_columns, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op4_language_id, op5_decontaminate, op6_line_dedup, op7_secret_scan, op8_html_extraction, op9_media_columns, op10_toxicity)}
 ORACLES: dict[str, str] = {}
