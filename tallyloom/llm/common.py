@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,17 +37,27 @@ def map_lists(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFr
     return df.mapInArrow(run, out)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back, so that lost executors cost no more than that read.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a local one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, a local one is made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed to the shared folder, so that lost executors cost no more than reading it; gone with the last reference to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), but as a compressed table in that folder: for large frames. It stays there until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column as text, modulo n; a null counts as empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % n
