@@ -31,9 +31,9 @@ UNITS = frozenset(
     "km2 m2 m3 hz khz mhz ghz w kw mw v kv a j kj cal kcal pa kpa bar c f k n percent pct dollar dollars euro euros cent cents usd eur".split()
 )
 PLAIN, NAME, NUM, UNIT, END = range(5)
-FILL = {NAME: xxhash.xxh64_intdigest(b"<name>"), NUM: xxhash.xxh64_intdigest(b"<number>"), UNIT: xxhash.xxh64_intdigest(b"<unit>")}
+FILL = np.array([0, *map(xxhash.xxh64_intdigest, (b"<name>", b"<number>", b"<unit>")), 0], dtype=np.uint64)
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 class Codes(dict):
@@ -57,19 +57,17 @@ class Codes(dict):
 CODES = Codes()
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """A text's words, the hash of each word or of its placeholder, and whether it is a placeholder."""
+def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """A text's tokens, the places of its words among them, the hash of each word or of its placeholder, and whether it is a placeholder."""
     tokens = TOKEN.findall(text or "")
     codes = np.fromiter(map(CODES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     kind = (codes & np.uint64(7)).astype(np.int8)
-    first = np.concatenate([[True], kind[:-1] == END])[: len(kind)]
-    after_number = np.concatenate([[False], kind[:-1] == NUM])[: len(kind)]
-    slot = (kind == NUM) | ((kind == NAME) & ~first) | ((kind == UNIT) & after_number)
-    hashes = codes.copy() >> np.uint64(3)
-    for k, h in FILL.items():
-        hashes[slot & (kind == k)] = np.uint64(h)
+    before = np.empty_like(kind)
+    before[:1], before[1:] = END, kind[:-1]
+    slot = (kind == NUM) | ((kind == NAME) & (before != END)) | ((kind == UNIT) & (before == NUM))
     at = np.flatnonzero(kind != END)
-    return [tokens[i] for i in at] if len(at) < len(tokens) else tokens, hashes[at], slot[at]
+    slot = slot[at]
+    return tokens, at, np.where(slot, FILL[kind[at]], codes[at] >> np.uint64(3)), slot
 
 
 def windows(hashes: np.ndarray, slots: np.ndarray, size: int) -> np.ndarray:
@@ -81,8 +79,9 @@ def windows(hashes: np.ndarray, slots: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         made += hashes[k : k + n] * POWERS[k]
         made ^= made >> np.uint64(29)
-    held = np.concatenate([[0], np.cumsum(slots)])
-    made[2 * (held[size:] - held[:-size]) > size] = 0
+    if slots.any():
+        held = np.concatenate([[0], np.cumsum(slots)])
+        made[2 * (held[size:] - held[:-size]) > size] = 0
     return made
 
 
@@ -92,25 +91,25 @@ def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | No
     sizes None: WINDOW, or the whole text where that is shorter (LEAST_WORDS at least). wanted: sorted hashes to keep.
     """
     if wanted is not None:
-        near = np.zeros(1 << 20, dtype=bool)
-        near[(wanted >> np.uint64(44)).astype(np.int64)] = True
+        near = np.zeros(1 << 22, dtype=bool)  # by their first bits, most windows are told apart at once
+        near[(wanted >> np.uint64(42)).astype(np.int64)] = True
 
     def run(keys, texts):
         out = [[], [], [], [], [], []]
         for k, t in zip(keys, texts, strict=True):
-            words, hashes, slots = template(t)
-            for size in sizes or ([min(WINDOW, len(words))] if len(words) >= LEAST_WORDS else []):
+            tokens, places, hashes, slots = template(t)
+            for size in sizes or ([min(WINDOW, len(places))] if len(places) >= LEAST_WORDS else []):
                 made = windows(hashes, slots, size)
                 if wanted is None:
                     at = np.flatnonzero(made)
                 else:
-                    at = np.flatnonzero(near[(made >> np.uint64(44)).astype(np.int64)])
-                    at = at[np.isin(made[at], wanted)]
+                    at = np.flatnonzero(near[(made >> np.uint64(42)).astype(np.int64)])
+                    at = at[wanted[np.minimum(np.searchsorted(wanted, made[at]), len(wanted) - 1)] == made[at]]
                 for i in at.tolist():
                     out[0].append(k)
                     out[1].append(size)
                     out[2].append(i)
-                    out[4].append([words[j].lower() for j in range(i, i + size) if slots[j]])
+                    out[4].append([tokens[places[j]].lower() for j in range(i, i + size) if slots[j]])
                 out[3] += made[at].view(np.int64).tolist()
                 out[5] += [len(made)] * len(at)
         return out
