@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, lines, media, secrets, simhash, toxicity
+from . import bpe, decontaminate, html, langid, lines, media, passages, secrets, simhash, toxicity
 from .common import crc_mod, table
 
 
@@ -33,6 +33,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of equal words, its group over repeated passages, and how much of it is repeated."""
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose id's crc32 is no multiple of 5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -99,5 +104,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op4_language_id, op5_decontaminate, op6_line_dedup, op7_secret_scan, op8_html_extraction, op9_media_columns, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op3_substring_dedup, op4_language_id, op5_decontaminate, op6_line_dedup, op7_secret_scan, op8_html_extraction, op9_media_columns, op10_toxicity)}
 ORACLES: dict[str, str] = {}
