@@ -16,9 +16,8 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids and decoded text, as digests."""
-    made = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
+def digests(made: DataFrame) -> DataFrame:
+    """What bpe.encode_decode returns, as digests."""
     return made.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -27,6 +26,11 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and decoded text, as digests."""
+    return digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and its group of near duplicates."""
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -93,9 +97,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
     """Learned from the labelled documents whose id's crc32 modulo 3 is not 1."""
-    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1).where("toxic is not null").select("doc_id", "toxic")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.learn(labels.join(docs, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1)
+    return toxicity.learn(table(spark, sf_dir, "documents"), labels)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_lists, sample_rows
+from .common import map_lists, sample_rows, stored
 
 WORD = re.compile(r"[^\W_]+")
 QUOTED = re.compile("\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]")
@@ -171,16 +172,17 @@ def induce(toxic: dict[str, int], clean: dict[str, int], bad: int, good: int) ->
     return terms
 
 
-def learn(labelled: DataFrame, most: int = 15_000, candidates: int = 20_000, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Lexicon:
-    """A lexicon from labelled texts (label 0 or 1; null labels teach nothing).
+def learn(docs: DataFrame, labels: DataFrame, most: int = 15_000, candidates: int = 20_000, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Lexicon:
+    """A lexicon from docs and their labels (0 or 1; null labels, and labels of no document, teach nothing).
 
-    Fitted on a sample of about `most` rows, by a hash of key, and on the `candidates` terms that the most toxic ones of
+    Fitted on a sample of about `most` labels, by a hash of key, which are sent to where the texts are read, and on the `candidates` terms that the most toxic ones of
     them hold. The threshold comes from crossing over: lexicons of either half of the sample, each run on the other
     half. Words of clean texts that look like misspelled terms are taken for ordinary ones. The driver gets the terms,
     at most `candidates` ordinary words, and a histogram of evidence, all bounded.
     """
-    rows = sample_rows(labelled.where(F.col(label).isin(0, 1)), key, most)
-    rows = rows.select(F.col(label).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit("half"), F.col(key)), F.lit(2)).cast("int").alias("half"), F.col(text).alias("text"))
+    chosen = sample_rows(labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y")), key, most)
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col(key)), F.lit(2)).cast("int").alias("half")
+    rows = stored(docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("y", half, "text"))
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
 
     def tally(y, wanted=None):
@@ -238,19 +240,23 @@ def threshold(bins: dict[tuple[int, int], int]) -> float:
     return (at + max(below, 0)) / 2 / STEP
 
 
-def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """(key, score, predicted, hits array<struct<start, end, weight>>) for each row; predicted is 1 from a score of 0.7.
 
     Spans are of the lower-cased text. Null and empty texts have no evidence and the least score. Repeated rows get
-    equal scores; other columns are ignored; rows are independent, without a shuffle.
+    equal scores; rows are independent, without a shuffle. Other columns are ignored, or with keep come first, all but
+    those with the names of the results.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    made = ("score", "predicted", "hits")
+    rows = docs.select(*[c for c in docs.columns if c not in made]) if keep else docs.select(F.col(key), F.col(text))
+    at = rows.columns.index(text)
+    given = rows.schema.fields if keep else [rows.schema[key]]
 
-    def run(keys, texts):
-        found = [lexicon.hits(t) for t in texts]
+    def run(*columns):
+        found = [lexicon.hits(t) for t in columns[at]]
         scores = [lexicon.score(lexicon.sum(h)) for h in found]
         spans = [[{"start": s, "end": e, "weight": w} for s, e, w in h] for h in found]
-        return keys, scores, [int(s >= 0.7) for s in scores], spans
+        return *columns[: len(given)], scores, [int(s >= 0.7) for s in scores], spans
 
-    schema = f"`{key}` {kind}, score double, predicted int, hits array<struct<start:int,end:int,weight:double>>"
-    return map_lists(docs.select(F.col(key), F.col(text)), run, schema)
+    told = T.StructType.fromDDL("score double, predicted int, hits array<struct<start:int,end:int,weight:double>>")
+    return map_lists(rows, run, T.StructType([*given, *told.fields]))
