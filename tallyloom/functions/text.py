@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What Python takes for white space: Java's Unicode class lacks the four separators of ASCII.
 SPACE = r"[\s\x1c-\x1f]"
@@ -59,7 +60,7 @@ def printable_ascii(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"[^\x20-\x7E]", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no function for it."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")

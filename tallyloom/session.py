@@ -1,8 +1,10 @@
-"""A session with the settings that these pipelines expect."""
+"""A session with the settings that these pipelines expect, and cutting the lineage of steps that must run once."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tallyloom", **settings: str) -> SparkSession:
@@ -17,3 +19,14 @@ def session(app: str = "tallyloom", **settings: str) -> SparkSession:
     }.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df, checkpointed: a step that calls a service runs once, whatever reads it and whichever executors are lost.
+
+    The folder is the one in spark.checkpoint.dir; only where that is unset, as in tests, a local one is made.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)

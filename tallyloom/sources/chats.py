@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.text import na_as_text, na_to_null, parse_time
 
@@ -14,7 +15,7 @@ LINES = "file string, ord bigint, user string, message string, date string, has_
 
 
 def read_chat_csv(spark: SparkSession, paths: str | list[str], na_compat: bool = True) -> DataFrame:
-    """(file, ord, date, user, message) of CSV files with a header, as text; ord orders the rows of a file.
+    """(path, file, ord, date, user, message) of CSV files with a header, as text; ord orders the rows of a file.
 
     A file is read by one task, as its cells may hold line feeds. A missing column is empty text. With na_compat, a
     message cell that is empty or says that it is missing is the text `nan`, and such a user or date is null.
@@ -24,6 +25,7 @@ def read_chat_csv(spark: SparkSession, paths: str | list[str], na_compat: bool =
     cell = lambda name: F.col(f"`{have[name]}`") if name in have else F.lit("")
     clean, message = (na_to_null, na_as_text) if na_compat else (lambda c: c, lambda c: c)
     told = [
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("file"),
         F.monotonically_increasing_id().alias("ord"),
         (clean(cell("date")) if "date" in have else F.lit(None).cast("string")).alias("date"),
@@ -88,13 +90,14 @@ def lines_in_range(rows: DataFrame, after=None, before=None) -> DataFrame:
     return rows.where(~F.col("has_date") | F.coalesce(ok, F.lit(False)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def literal(user: pd.Series, message: pd.Series, date: pd.Series) -> pd.Series:
     """A message as the Python literal of a dict."""
     none = lambda v: None if v is None or v != v else v
     return pd.Series([repr({"user": none(u), "message": none(m), "date": none(d)}) for u, m, d in zip(user, message, date, strict=True)])
 
 
-def write_chat_lines(rows: DataFrame, path: str) -> None:
-    """Messages, in order of file and ord, as lines of dict literals."""
-    rows.repartitionByRange("file", "ord").sortWithinPartitions("file", "ord").select(literal("user", "message", F.col("date").cast("string"))).write.mode("overwrite").text(path)
+def write_chat_lines(rows: DataFrame, path: str, by: str = "file") -> None:
+    """Messages as lines of dict literals, in order of ord, in a folder for each value of `by`; one file there for each chat."""
+    told = rows.repartition(by).sortWithinPartitions(by, "ord")
+    told.select(by, literal("user", "message", F.col("date").cast("string")).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
