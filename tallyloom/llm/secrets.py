@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ BASE = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32)
 LEAST = 20
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST
 ORDINARY = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,}"
-#: Mean log-likelihood ratio, in nats for each character, from which a token is a secret; added to every count.
-RATIO, SMOOTH = 0.5, 0.5
+#: Mean log-likelihood ratio, in nats for each character, from which a token is a secret; what is added to counts.
+RATIO, SMOOTH, BACK = 0.5, 0.5, 8
+#: Codes of a token's characters: the first, and how many there are from it to the last.
+FIRST, WIDE = 43, 80
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -57,20 +60,31 @@ def bigrams(values: DataFrame, value: str = "v") -> DataFrame:
 
 
 class Model:
-    """Log-likelihood ratios of bigrams, random against ordinary, as maps for SQL; at most 67 * 67 entries, as tokens have 67 characters."""
+    """Log-likelihood ratios of bigrams, random against ordinary, as one array for SQL: WIDE * WIDE numbers, by both characters' codes.
+
+    A step's probability is its share among the steps from the same character, mixed with BACK steps dealt as the second
+    character's share of all; the latter is smoothed by SMOOTH for each of the tokens' 67 characters.
+    """
 
     def __init__(self, random: dict[tuple[str, str], int], ordinary: dict[tuple[str, str], int]):
-        seen = sorted({c for k in (*random, *ordinary) for c in k})
-        sums = [{a: sum(m.get((a, b), 0) for b in seen) for a in seen} for m in (random, ordinary)]
         self.empty = not random or not ordinary
-        log = lambda m, s, a, b: math.log((m.get((a, b), 0) + SMOOTH) / (s[a] + SMOOTH * 67))
-        self.ratio = {a + b: round(log(random, sums[0], a, b) - log(ordinary, sums[1], a, b), 6) for a in seen for b in seen if (a, b) in random or (a, b) in ordinary}
-        self.unseen = {a: round(math.log((sums[1][a] + SMOOTH * 67) / (sums[0][a] + SMOOTH * 67)), 6) for a in seen}
+        steps = [self.steps(random), self.steps(ordinary)]
+        self.ratio = [round(math.log(steps[0](chr(FIRST + i), chr(FIRST + j)) / steps[1](chr(FIRST + i), chr(FIRST + j))), 6) for i in range(WIDE) for j in range(WIDE)]
+
+    @staticmethod
+    def steps(counts: dict[tuple[str, str], int]):
+        first, second = Counter(), Counter()
+        for (a, b), n in counts.items():
+            first[a] += n
+            second[b] += n
+        total = sum(second.values())
+        return lambda a, b: (counts.get((a, b), 0) + BACK * (second[b] + SMOOTH) / (total + SMOOTH * 67)) / (first[a] + BACK)
 
     def mean(self, token: Column) -> Column:
         """The mean log-likelihood ratio of a token's steps."""
-        ratio, unseen = (F.from_json(F.lit(json.dumps(m)), "map<string,double>") for m in (self.ratio, self.unseen))
-        step = lambda acc, i: acc + F.coalesce(ratio[F.substring(token, i, F.lit(2))], unseen[F.substring(token, i, F.lit(1))], F.lit(0.0))
+        ratio = F.from_json(F.lit(json.dumps(self.ratio)), "array<double>")
+        code = lambda i: F.ascii(F.substring(token, i, F.lit(1))) - FIRST
+        step = lambda acc, i: acc + F.coalesce(F.get(ratio, code(i) * WIDE + code(i + 1)), F.lit(0.0))
         return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), step) / (F.length(token) - 1)
 
 
@@ -80,7 +94,8 @@ def train(docs: DataFrame, most: int = 4_000, key: str = "doc_id", text: str = "
     secret = [F.regexp_extract_all("t", F.lit(p), F.lit(g)) for _, p, g, _ in BASE]
     kept = [F.filter(s, lambda x, n=n: F.length(x) >= n) for s, (_, _, _, n) in zip(secret, BASE, strict=True)]
     random = body.where(F.col("t").rlike("|".join(p for _, p, _, _ in BASE))).select(F.explode(F.concat(*kept)).alias("v"))
-    words = body.select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("v")).where(~F.col("v").rlike("[0-9]{4}|^[0-9a-f]{16,}$|^AKIA"))
+    rest = F.regexp_replace("t", "|".join(p for _, p, _, _ in BASE), " ")  # found secrets are no ordinary words
+    words = body.select(F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("v")).where(~F.col("v").rlike("[0-9]{4}|^[0-9a-f]{16,}$|^AKIA"))
     count = lambda rows: {(r["first"], r["second"]): r["n"] for r in bigrams(rows).where(F.concat("first", "second").rlike("^[A-Za-z0-9+/_.=-]{2}$")).collect()}
     return Model(count(random), count(words))
 

@@ -1,0 +1,184 @@
+"""Secrets, HTML extraction and decontamination against plain versions, and defined cases."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.llm import decontaminate, html, registry, secrets
+from tallyloom.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+CASES = [(1, None), (2, ""), (3, "   \n\t"), (4, "one"), (5, "one"), (5, "one"), (6, "word " * 30_000), (7, "a" * 50_000)]
+
+# --- secrets --------------------------------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+
+def plain_spans(text):
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate((("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32))):
+        found += [(m.start(), rank, m.end(), kind) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found)]
+
+
+def nasty(rng):
+    pool = ["password", "PassWd", "api_key", "APIKEY", "token", "secret", ":", "=", " ", " ", "\n", "\"", "'", "AKIA", "AKIAAKIA", "0123456789abcdef", "deadbeef" * 4, "Ab3/x+=_.-", "é", "😀", "x", "ABCDEFGH12345678", "longsecretvalue1"]
+    return "".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))
+
+
+def test_base_spans_same_as_plain_patterns(spark):
+    rng = random.Random(4)
+    texts = [*[t for _, t in CASES], *[nasty(rng) for _ in range(1500)], "secret" * 10 + "=" + "b" * 90_000, "token = abcdefgh token=short passwd:12345678"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    made = secrets.scan(frame).select("doc_id", secrets.listed(F.col("base")).alias("base"), F.size("added").alias("added"))
+    got = {r["doc_id"]: r["base"] for r in made.collect()}
+    assert got == {i: ",".join(plain_spans(t)) for i, t in enumerate(texts)}
+    assert made.where("added > 0").isEmpty()
+    assert secrets.scan(frame.limit(0)).collect() == []
+
+
+def test_secret_query(spark):
+    made = registry.op7_secret_scan(spark, SF)
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    for r in made.collect():
+        base = plain_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex")]
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(base) <= set(spans) and spans == sorted(spans, key=lambda s: int(s.split(":")[1]))
+
+
+def test_models_tell_random_strings_from_words(spark):
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choices(alphabet, k=n))
+    words = ["configuration", "get_user_name", "connection_pool", "maximum_retries", "internationalisation", "description", "parameters", "environment_variable"]
+    train = [(i, f"token={key(32)} {' '.join(rng.sample(words, 4))}") for i in range(300)]
+    model = secrets.train(spark.createDataFrame(train, "doc_id int, text string"))
+    given = [(i, f"see {key(28)}7a now") for i in range(40)] + [(100 + i, f"see {'_'.join(rng.sample(words, 3))}_2a now") for i in range(40)]
+    made = {r["doc_id"]: [tuple(s)[0::2][:2] for s in r["added"]] for r in secrets.scan(spark.createDataFrame(given, "doc_id int, text string"), model).collect()}
+    assert sum(bool(made[i]) for i in range(40)) >= 38 and sum(bool(made[100 + i]) for i in range(40)) <= 2
+    assert all(a == (4, 34) for i in range(40) for a in made[i])
+    assert secrets.train(spark.createDataFrame(train, "doc_id int, text string").limit(0)).empty
+
+
+# --- HTML -----------------------------------------------------------------------------------------------------------
+
+
+def page(body, title="T", extra=""):
+    return (
+        f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var t='</p>';</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>"
+        f"<div class='cookie-notice'>We use cookies</div>{body}<aside>Side</aside><div class=ad>Buy</div><form><input>Search</form>{extra}<footer>&copy; x</footer></body></html>"
+    )
+
+
+def test_main_text_of_one_page():
+    body = "<article><h1>A &amp; B</h1><p><b>one\n two<br>three<p>four&nbsp;five</p><div class=share>Share</div><ul><li>x<li>y</ul><div id='comments'>nice!</div><!-- no --></article>"
+    assert html.main_text(page(body)) == "A & B\n\none two three\n\nfour five\n\nx\n\ny"
+    assert html.main_text(None) == html.main_text("") == html.main_text("<html></html>") == html.main_text("<script>x") == ""
+    assert html.main_text("plain text") == "plain text"
+    assert html.main_text("<p>a</p><p>b") == "a\n\nb"
+    assert html.main_text("<article>" + "<div>" * 5000 + "deep") == "deep"
+    assert html.main_text("<p>" + "x " * 100_000) == ("x " * 100_000).strip()
+    assert html.main_text("a < b && c &lt; d") == "a < b && c < d"
+
+
+def test_wrappers_of_pages_without_articles(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(30):
+        told = [say(4), *[say(30) for _ in range(3)]]
+        body = f"<div class=wrap><div class=box7><h1>{told[0]}</h1>{''.join(f'<p>{t}</p>' for t in told[1:])}</div><div class=strip>Follow us everywhere</div></div>"
+        rows.append((i, f"http://u@Host.example:80/{i}", page(body)))
+        want[i] = "\n\n".join(told)
+    rows += [(50, None, page("<main>m</main>")), (51, "no url", None), (51, "no url", None), (52, "http://solo.example/", page("<article>a</article>"))]
+    want |= {50: "m", 51: "", 52: "a"}
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id int, url string, html string, text string, host string")
+    made = html.extract(frame)
+    assert made.columns == ["page_id", "url", "text"]
+    got = made.collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and len(got) == len(rows)
+    assert html.extract(frame.limit(0)).collect() == []
+
+
+def test_articles_of_the_pages_table(spark):
+    made = {r["page_id"]: (r["text"], r["n_chars"]) for r in registry.op8_html_extraction(spark, SF).collect()}
+    import html as entities
+
+    for r in table(spark, SF, "pages").collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)
+        blocks = re.split(r"</?(?:p|h1|article)>", inner[1] if inner else "")
+        plain = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+        text = "\n\n".join(b for b in plain if b)
+        assert made[r["page_id"]] == (text, len(text))
+
+
+def size(a):
+    return 1 + sum(size(c) for c in a.children if isinstance(c, html.Node))
+
+
+def best(a, b):
+    """Simple tree matching by plain recursion."""
+    if a.name != b.name:
+        return 0
+    x, y = ([c for c in n.children if isinstance(c, html.Node)] for n in (a, b))
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + best(p, q))
+    return table[-1][-1] + 1
+
+
+def test_alignment_same_as_plain_tree_matching():
+    rng = random.Random(7)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randint(0, 3))) if depth else "x"
+
+    for _ in range(60):
+        a, b = html.parse(tree(3)), html.parse(tree(3))
+        pairs = html.align(a, b, {id(n) for t in (a, b) for n in html.nodes(t)})
+        assert len(pairs) == best(a, b)
+
+
+# --- decontamination ------------------------------------------------------------------------------------------------
+
+
+def test_planted_items_and_templates(spark):
+    items = [(1, "A train leaves Boston at 60 miles per hour and Anna drives 45 miles from Salem before noon, how far are they apart after 3 hours of travel?"), (2, "What is the name of the longest river that flows through the old town near the northern sea and its wide green valley?"), (3, "12 14 16"), (4, None), (5, "too short"), (6, "one two three four")]
+    other = items[0][1].replace("Boston", "Denver").replace("Anna", "Maria").replace("60", "75").replace("45", "30").replace("3 hours", "5 hours")
+    mixed = items[0][1].replace("Anna", "Boston")
+    docs = [(1, "Before. " + items[0][1] + " After it comes more."), (2, "x y z. " + other), (3, "clean text about trains that leave at noon and rivers that flow through towns " * 5), (4, items[1][1].upper()), (5, None), (6, ""), (7, "say " * 50_000 + items[1][1]), (8, items[1][1]), (8, items[1][1]), (9, "12 14 16"), (10, "so one two three four")]
+    frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, items string, window int")
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, lang string")
+    for sent in (decontaminate.SENT, 0):
+        got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(frame, bench, sent=sent).collect()}
+        assert {k: v for k, v in got.items() if k != 4} == {1: [1], 2: [1], 7: [2], 8: [2], 10: [6]}
+    pairs = {r["doc_id"]: r["coverage"] for r in decontaminate.matches(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), bench).collect()}
+    assert pairs.get(1, 0) < 1  # one name that stands for two others isn't consistent
+    assert decontaminate.contaminated(frame.limit(0), bench).collect() == [] and decontaminate.contaminated(frame, bench.limit(0)).collect() == []
+
+
+def test_benchmark_passages_same_as_brute_force(spark):
+    words = lambda t: re.findall(r"\w+", t.lower())
+    items = [(r["item_id"], words(r["text"])) for r in table(spark, SF, "benchmark").collect()]
+    want = set()
+    for r in table(spark, SF, "documents").collect():
+        said = " " + " ".join(words(r["text"] or "")) + " "
+        if any(" " + " ".join(w) + " " in said for _, w in items):
+            want.add(r["doc_id"])
+    made = registry.op5_decontaminate(spark, SF).collect()
+    got = {r["doc_id"] for r in made if r["contaminated"]}
+    assert want and want <= got and len(got - want) <= 0.02 * len(made)
+
+
+@pytest.mark.parametrize("text, slots", [("He met Anna at 5 km.", ["Anna", "5", "km"]), ("Anna met 3.5 friends", ["3.5"]), ("km 5", ["5"]), ("", [])])
+def test_placeholders(text, slots):
+    tokens, at, _, slot = decontaminate.template(text)
+    assert [tokens[a] for a, s in zip(at, slot, strict=True) if s] == slots
