@@ -22,6 +22,13 @@ from pyspark.sql import functions as F
 from .common import map_lists
 
 NONE = 1 << 62
+#: Letters and numbers that are newer than Python's tables, but known where the vocabulary was made; and what
+#: the upper-case ones among such characters become in lower case, as ranges and their first counterparts.
+KNOWN = (
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d40-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 "
+    "116d0-116e3 11bc0-11be0 11bf0-11bf9 13460-143fa 16100-1611d 16130-16139 16d40-16d6c 16d70-16d79 18cff-18cff 1ccf0-1ccf9 1e5d0-1e5ed 1e5f0-1e5fa"
+)
+LOWER = "1c89-1c89=1c8a a7cb-a7cb=264 a7cc-a7cc=a7cd a7ce-a7ce=a7cf a7d2-a7d2=a7d3 a7d4-a7d4=a7d5 a7da-a7da=a7db a7dc-a7dc=19b 10d50-10d65=10d70 16ea0-16eb8=16ebb"
 #: Words whose pieces a Python worker remembers; then it starts anew.
 REMEMBERED = 800_000
 
@@ -82,6 +89,14 @@ def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list
     return [x for x in ids if x >= 0]
 
 
+def new_characters() -> tuple[str, str]:
+    """Letters and numbers of the regex module that Python's tables lack, and those of them that aren't KNOWN."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    new = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    spans = [[int(x, 16) for x in r.split("-")] for r in KNOWN.split()]
+    return "".join(new), "".join(c for c in new if not any(a <= ord(c) <= b for a, b in spans))
+
+
 class WordBpe:
     """A vocabulary file of the kind "BPE with word ends": NFC, white space to one space, lower case, words, bytes, merges."""
 
@@ -103,6 +118,12 @@ class WordBpe:
         self.last = [vocab.get(byte[b] + self.end) for b in range(256)]
         split = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split).findall
+        new, unknown = new_characters()
+        self.new = regex.compile("[" + regex.escape(new) + "]").search if new else (lambda text: None)
+        for kind in (r"\p{L}", r"\p{N}"):
+            split = split.replace(kind, f"[{kind}--[{regex.escape(unknown)}]]" if unknown else kind)
+        self.new_words = regex.compile(split, regex.V1).findall
+        self.lower = {int(a, 16) + k: int(c, 16) + k for a, b, c in (regex.split("[-=]", r) for r in LOWER.split()) for k in range(int(b, 16) - int(a, 16) + 1)}
         self.space = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")") if self.special else None
         self.kept: dict[str, tuple[bytes, str]] = {}
@@ -111,6 +132,13 @@ class WordBpe:
         """Lower case goes character by character: a capital sigma has no final form."""
         return self.space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text that holds no special token."""
+        text = self.normal(text)
+        if text.isascii() or not self.new(text):
+            return self.words(text)
+        return self.new_words(text.translate(self.lower))
+
     def word(self, word: str) -> list[int]:
         """Ids of one word."""
         raw = word.encode("utf-8", "replace")
@@ -127,7 +155,7 @@ class WordBpe:
             return b"", ""
         words: list[str] = []
         for k, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else [text]):
-            words += [part] if k % 2 else self.words(self.normal(part))
+            words += [part] if k % 2 else self.split(part)
         kept = self.kept
         if len(kept) > REMEMBERED:
             kept.clear()
