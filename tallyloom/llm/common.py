@@ -52,9 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As cut(), but as a compressed table in that folder: for large frames. It stays there until the folder is cleared."""
+    """As cut(), but as a compressed table in that folder: for large frames. It stays there until the folder is cleared.
+
+    Shuffle files go when the driver collects its garbage, and by itself that may be long after; so it is told to.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
