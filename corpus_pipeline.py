@@ -25,19 +25,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines that are the first of their kind; those that had words and lost them all go."""
-    made = lines.deduplicate(docs.select(*COLUMNS)).where("n_kept = n_lines or text rlike r'[\\\\p{L}]'")
+    made = lines.deduplicate(docs.select(*COLUMNS)).where((F.col("n_kept") == F.col("n_lines")) | F.col("text").rlike(r"\p{L}"))
     return made.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near duplicates; rows that repeat it are one."""
-    found = simhash.near_duplicates(docs)
-    heads = found.where("doc_id = component").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """The least document of each group of near duplicates; rows that repeat it are one. Documents without an id stay."""
+    named = docs.where("doc_id is not null")
+    heads = simhash.near_duplicates(named).where("doc_id = component").select("doc_id").distinct()
+    kept = named.join(heads, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Documents without an id stay."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
     return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
 
