@@ -31,6 +31,8 @@ LEAST, FUZZY_LEAST = math.log(10), math.log(40)
 #: Evidence is that of the TOP strongest hits, so that a long text isn't the worse for its length; it is counted in steps
 #: of 1 / STEP. A score is the logistic of its distance from the threshold.
 TOP, STEP = 3, 4
+#: Share of a stem's toxic holders that a word of it needs to be a term of its own.
+MAIN = 0.3
 MOST = 40.0
 REMEMBERED = 300_000
 
@@ -47,11 +49,12 @@ def terms_of(text: str | None) -> set[str]:
 
 @dataclass
 class Lexicon:
-    """Terms with their weights, as a trie, and the evidence from which a text is predicted toxic."""
+    """Terms with their weights, as a trie, those whose misspellings count as another, and the evidence from which a text is predicted toxic."""
 
     terms: dict[str, float]
     threshold: float = 0.0
     trie: dict = field(default_factory=dict)
+    near: dict = field(default_factory=dict)
     heads: set = field(default_factory=set)
     tails: set = field(default_factory=set)
     ordinary: set = field(default_factory=set)
@@ -59,15 +62,18 @@ class Lexicon:
 
     def __post_init__(self):
         for term, weight in self.terms.items():
-            node, stem, plain = self.trie, term.endswith("*"), term.rstrip("*")
-            for c in plain:
-                node = node.setdefault(c, {})
-            node["*" if stem else "$"] = weight
-            if not stem and len(plain) >= FUZZY_FROM and weight >= FUZZY_LEAST:
-                # with one edit between them, a word has the first or the last half of the term at its own start or end
-                self.heads.add(plain[: len(plain) // 2])
-                self.tails.add(plain[len(plain) // 2 :])
-        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+            stem, plain = term.endswith("*"), term.rstrip("*")
+            fuzzy = not stem and len(plain) >= FUZZY_FROM and weight >= FUZZY_LEAST
+            for node in (self.trie, self.near) if fuzzy else (self.trie,):
+                for c in plain:
+                    node = node.setdefault(c, {})
+                node["*" if stem else "$"] = weight
+            if fuzzy:
+                # with one edit between them, a word has the first or the last half of the term at its own start or end, and about its length
+                for size in range(len(plain) - 1, len(plain) + 2):
+                    self.heads.add((plain[: len(plain) // 2], size))
+                    self.tails.add((plain[len(plain) // 2 :], size))
+        self.head_sizes, self.tail_sizes = sorted({len(x) for x, _ in self.heads}), sorted({len(x) for x, _ in self.tails})
 
     def exact(self, word: str) -> float:
         """The greatest weight of the terms that word is or begins with."""
@@ -85,22 +91,22 @@ class Lexicon:
         The automaton's state is the row of edit distances between the word's prefixes and the path down the trie; a
         path ends where every distance of its row is above one.
         """
-        if not any(word[:k] in self.heads for k in self.head_sizes) and not any(word[-k:] in self.tails for k in self.tail_sizes):
-            return 0.0
         best, n = 0.0, len(word)
-        todo = [(self.trie, list(range(n + 1)), 0)]
+        if not any((word[:k], n) in self.heads for k in self.head_sizes) and not any((word[-k:], n) in self.tails for k in self.tail_sizes):
+            return 0.0
+        todo = [(self.near, list(range(n + 1)))]
         while todo:
-            node, row, depth = todo.pop()
-            if depth >= FUZZY_FROM and row[n] <= 1:
-                best = max(best, w if (w := node.get("$", 0.0)) >= FUZZY_LEAST else 0.0)
+            node, row = todo.pop()
+            if row[n] <= 1:
+                best = max(best, node.get("$", 0.0))
             for c, below in node.items():
-                if c in "*$":
+                if c == "$":
                     continue
                 new = [row[0] + 1]
                 for i in range(1, n + 1):
                     new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != c)))
                 if min(new) <= 1:
-                    todo.append((below, new, depth + 1))
+                    todo.append((below, new))
         return best
 
     def misspelled(self, word: str) -> bool:
@@ -156,7 +162,8 @@ def induce(toxic: dict[str, int], clean: dict[str, int], bad: int, good: int) ->
     """Terms with their weights, from the numbers of toxic and clean texts that hold each, of bad and good texts in all.
 
     A weight is the log odds that a holder is toxic over those of any text, shrunk by two texts of the usual mixture.
-    Kept are terms of three toxic texts or more, raised odds and few clean holders, unless a shorter stem does as well.
+    Kept are terms of three toxic texts or more, raised odds and few clean holders, unless a shorter stem does as well. Of
+    the words that such a stem covers, those stay that MAIN of its toxic holders have: they are what misspellings are of.
     """
     if not bad or not good:
         return {}
@@ -166,8 +173,8 @@ def induce(toxic: dict[str, int], clean: dict[str, int], bad: int, good: int) ->
     terms: dict[str, float] = {}
     for t in sorted(strong, key=lambda t: (len(t.rstrip("*")), t)):
         plain = t.rstrip("*")
-        covered = any(terms.get(plain[:k] + "*", 0.0) >= strong[t] - 0.5 for k in STEMS if k < len(plain))
-        if not covered or (not t.endswith("*") and len(plain) >= FUZZY_FROM):
+        covering = [s for k in STEMS if k < len(plain) and terms.get(s := plain[:k] + "*", 0.0) >= strong[t] - 0.5]
+        if not covering or (not t.endswith("*") and len(plain) >= FUZZY_FROM and all(toxic[t] >= MAIN * toxic[s] for s in covering)):
             terms[t] = strong[t]
     return terms
 
