@@ -89,12 +89,23 @@ def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list
     return [x for x in ids if x >= 0]
 
 
+def ranges(characters: list[str]) -> str:
+    """Sorted characters as the ranges of a pattern's class."""
+    found: list[list[int]] = []
+    for c in map(ord, characters):
+        if found and c == found[-1][1] + 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
+
+
 def new_characters() -> tuple[str, str]:
-    """Letters and numbers of the regex module that Python's tables lack, and those of them that aren't KNOWN."""
+    """Letters and numbers of the regex module that Python's tables lack, and those of them that aren't KNOWN, as ranges."""
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     new = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
     spans = [[int(x, 16) for x in r.split("-")] for r in KNOWN.split()]
-    return "".join(new), "".join(c for c in new if not any(a <= ord(c) <= b for a, b in spans))
+    return ranges(new), ranges([c for c in new if not any(a <= ord(c) <= b for a, b in spans)])
 
 
 class WordBpe:
@@ -119,9 +130,9 @@ class WordBpe:
         split = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split).findall
         new, unknown = new_characters()
-        self.new = regex.compile("[" + regex.escape(new) + "]").search if new else (lambda text: None)
+        self.new = regex.compile(f"[{new}]").search if new else (lambda text: None)
         for kind in (r"\p{L}", r"\p{N}"):
-            split = split.replace(kind, f"[{kind}--[{regex.escape(unknown)}]]" if unknown else kind)
+            split = split.replace(kind, f"[{kind}--[{unknown}]]" if unknown else kind)
         self.new_words = regex.compile(split, regex.V1).findall
         self.lower = {int(a, 16) + k: int(c, 16) + k for a, b, c in (regex.split("[-=]", r) for r in LOWER.split()) for k in range(int(b, 16) - int(a, 16) + 1)}
         self.space = regex.compile(r"\p{White_Space}+")
@@ -135,9 +146,12 @@ class WordBpe:
     def split(self, text: str) -> list[str]:
         """The words of a text that holds no special token."""
         text = self.normal(text)
-        if text.isascii() or not self.new(text):
-            return self.words(text)
-        return self.new_words(text.translate(self.lower))
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.new(text):
+                return self.new_words(text.translate(self.lower))
+        return self.words(text)
 
     def word(self, word: str) -> list[int]:
         """Ids of one word."""
