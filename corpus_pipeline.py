@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each one operator: (spark, docs, sf_dir) -> documents, in the columns of documents.
 
-Toxic documents go; lines that repeat others go, and with them documents of which no word is left; of near duplicates one
+Toxic documents go; lines that repeat others go, and with them documents of which no line is left; of near duplicates one
 stays; documents that hold a benchmark item go; what remains is encoded. Each stage works on what its predecessor kept.
 """
 
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the lines that are the first of their kind; those that had words and lost them all go."""
-    made = lines.deduplicate(docs.select(*COLUMNS)).where((F.col("n_kept") == F.col("n_lines")) | F.col("text").rlike(r"\p{L}"))
+    """Documents with the lines that are the first of their kind; those of which no line but blank ones is left go."""
+    made = lines.deduplicate(docs.select(*COLUMNS)).where((F.col("n_kept") == F.col("n_lines")) | F.col("text").rlike(r"(?U)\S"))
     return made.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -55,6 +55,13 @@ def test_stages(spark, tables):
         assert stage(spark, read().limit(0), folder).collect() == [], name
 
 
+def test_documents_of_figures_stay(spark):
+    docs = [(1, "Yearly report"), (2, "Yearly report\n12.5 | 13.5\n2024-01-02"), (3, "Yearly report\n \n"), (4, "")]
+    frame = spark.createDataFrame([(*d, "en", "s", 0) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, frame, SF).collect()}
+    assert kept == {1: "Yearly report", 2: "12.5 | 13.5\n2024-01-02", 4: ""}
+
+
 def test_run(spark, tables):
     folder, texts, _ = tables
     made = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, folder).collect()}
