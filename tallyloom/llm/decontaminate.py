@@ -4,11 +4,14 @@ Numbers, units that follow a number, and capitalised words within a sentence bec
 a template. Windows of a template are joined by hash with those of the benchmark, so a question that was given other
 names or figures is still met. Matches that lie on one diagonal (same distance between place in document and in item)
 must fill their slots consistently: one value of the item always meets one value of the document, and the other way round.
+Where values contradict each other, the assignment that most windows bear out holds, and only windows against it go.
+Windows also match as they stand, in lower case without placeholders, so verbatim copies are met whatever their words are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -59,6 +62,12 @@ CODES = Codes()
 
 def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """A text's tokens, the places of its words among them, the hash of each word or of its placeholder, and whether it is a placeholder."""
+    tokens, at, words, slot, kind = coded(text)
+    return tokens, at, np.where(slot, FILL[kind], words), slot
+
+
+def coded(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's tokens, the places of its words among them, and of each word its hash, whether it is a placeholder, and its kind."""
     tokens = TOKEN.findall(text or "")
     codes = np.fromiter(map(CODES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     kind = (codes & np.uint64(7)).astype(np.int8)
@@ -66,8 +75,7 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     before[:1], before[1:] = END, kind[:-1]
     slot = (kind == NUM) | ((kind == NAME) & (before != END)) | ((kind == UNIT) & (before == NUM))
     at = np.flatnonzero(kind != END)
-    slot = slot[at]
-    return tokens, at, np.where(slot, FILL[kind[at]], codes[at] >> np.uint64(3)), slot
+    return tokens, at, codes[at] >> np.uint64(3), slot[at], kind[at]
 
 
 def windows(hashes: np.ndarray, slots: np.ndarray, size: int) -> np.ndarray:
@@ -86,7 +94,11 @@ def windows(hashes: np.ndarray, slots: np.ndarray, size: int) -> np.ndarray:
 
 
 def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
-    """(key, size, pos, window, slots, total): template windows of each text, total being how many it has of that size.
+    """(key, size, pos, window, slots, total, form): windows of each text, total being how many it has of that size.
+
+    A window without placeholders comes once (form 0). Another comes as a template with its slots (1), unless it is of
+    mostly placeholders, and as it stands, without slots (2, or 3 if it is of mostly placeholders). A short text of
+    figures alone has no window.
 
     sizes None: WINDOW, or the whole text where that is shorter (LEAST_WORDS at least). wanted: sorted hashes to keep.
     """
@@ -94,34 +106,58 @@ def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | No
         near = np.zeros(1 << 22, dtype=bool)  # by their first bits, most windows are told apart at once
         near[(wanted >> np.uint64(42)).astype(np.int64)] = True
 
+    def among(made):
+        if wanted is None:
+            return made != 0
+        keep = near[(made >> np.uint64(42)).astype(np.int64)]
+        at = np.flatnonzero(keep)
+        keep[at] = wanted[np.minimum(np.searchsorted(wanted, made[at]), len(wanted) - 1)] == made[at]
+        return keep & (made != 0)
+
     def run(keys, texts):
-        out = [[], [], [], [], [], []]
+        out = [[], [], [], [], [], [], []]
         for k, t in zip(keys, texts, strict=True):
-            tokens, places, hashes, slots = template(t)
+            tokens, places, words, slots, kinds = coded(t)
+            filled = np.where(slots, FILL[kinds], words)
             for size in sizes or ([min(WINDOW, len(places))] if len(places) >= LEAST_WORDS else []):
-                made = windows(hashes, slots, size)
-                if wanted is None:
-                    at = np.flatnonzero(made)
-                else:
-                    at = np.flatnonzero(near[(made >> np.uint64(42)).astype(np.int64)])
-                    at = at[wanted[np.minimum(np.searchsorted(wanted, made[at]), len(wanted) - 1)] == made[at]]
-                for i in at.tolist():
-                    out[0].append(k)
-                    out[1].append(size)
-                    out[2].append(i)
-                    out[4].append([tokens[places[j]].lower() for j in range(i, i + size) if slots[j]])
-                out[3] += made[at].view(np.int64).tolist()
-                out[5] += [len(made)] * len(at)
+                plain = windows(words, np.zeros_like(slots), size)
+                if size < WINDOW and len(plain):
+                    figures = np.concatenate([[0], np.cumsum(slots & (kinds != NAME))])
+                    plain[figures[size:] - figures[:-size] == size] = 0
+                made = windows(filled, slots, size) if slots.any() else plain
+                held = np.concatenate([[0], np.cumsum(slots)])
+                slotted = held[size:] > held[:-size] if len(plain) else np.zeros(0, dtype=bool)
+                form = np.where(slotted, np.where(made == 0, 3, 2), 0)
+                for hashes, at, forms in ((plain, np.flatnonzero(among(plain)), form), (made, np.flatnonzero(among(made) & slotted), np.ones_like(form))):
+                    for i in at.tolist():
+                        out[0].append(k)
+                        out[1].append(size)
+                        out[2].append(i)
+                        out[4].append([tokens[places[j]].lower() for j in range(i, i + size) if slots[j]] if forms[i] == 1 else [])
+                    out[3] += hashes[at].view(np.int64).tolist()
+                    out[5] += [len(plain)] * len(at)
+                    out[6] += forms[at].tolist()
         return out
 
     kind = rows.schema[key].dataType.simpleString()
-    return map_lists(rows.select(F.col(key), F.col(text)), run, f"`{key}` {kind}, size int, pos int, window long, slots array<string>, total int")
+    return map_lists(rows.select(F.col(key), F.col(text)), run, f"`{key}` {kind}, size int, pos int, window long, slots array<string>, total int, form int")
+
+
+def consistent(found: list[dict]) -> list[dict]:
+    """The windows of one diagonal whose slots agree with one assignment of values: pairs that most windows hold come first, equal values before others."""
+    pairs = Counter((p["item_slots"], p["slots"]) for f in found for p in f["pairs"])
+    left: dict[str, str] = {}
+    right: dict[str, str] = {}
+    for a, b in sorted(pairs, key=lambda p: (-pairs[p], p[0] != p[1], p)):
+        if a not in left and b not in right:
+            left[a], right[b] = b, a
+    return [f for f in found if all(left.get(p["item_slots"]) == p["slots"] for p in f["pairs"])]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", sent: int = SENT) -> DataFrame:
-    """(key, item, coverage): documents that hold `COVERED` of an item's template windows or more, consistently filled.
+    """(key, item, coverage): documents that hold `COVERED` of an item's template windows or more, consistently filled, or of all its windows as they stand.
 
-    Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words or mostly placeholders. A repeated
+    Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words, or of fewer than WINDOW that are all figures. A repeated
     item counts for itself; an empty table on either side gives an empty result. Other columns are ignored.
     """
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("item_text"))
@@ -130,19 +166,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     sizes = [r["size"] for r in held.select("size").distinct().orderBy("size").collect()] or [WINDOW]
     few = kinds.limit(sent + 1).count() <= sent
     wanted = np.sort(np.array([r["window"] for r in kinds.collect()], dtype=np.int64).view(np.uint64)) if few else None
-    found = template_windows(docs.select(F.col(key).alias("key"), F.col(text).alias("body")), "key", "body", sizes, wanted).drop("total")
-    there = held.select("item", "size", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "total")
+    found = template_windows(docs.select(F.col(key).alias("key"), F.col(text).alias("body")), "key", "body", sizes, wanted).drop("total", "form")
+    there = held.select("item", "size", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "total", "form")
     both = found.join(there, ["window", "size"]).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    pairs = both.select("key", "item", "diagonal", "item_pos", "total", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("p"))
-    lines = pairs.groupBy("key", "item", "diagonal").agg(
-        F.collect_set("item_pos").alias("at"), F.max("total").alias("total"),
-        F.collect_set("p").alias("both"), F.collect_set("p.item_slots").alias("left"), F.collect_set("p.slots").alias("right"),
-    )
-    pure = lines.where((F.size("both") == F.size("left")) & (F.size("both") == F.size("right")))
-    whole = pure.groupBy("key", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.max("total").alias("total"))
-    # windows of mostly placeholders aren't counted on either side
-    counted = held.groupBy("item").agg(F.count("*").alias("usable"))
-    whole = whole.join(counted, "item").select("key", "item", (F.col("n") / F.col("usable")).alias("coverage"))
+    hit = F.struct("item_pos", "form", F.arrays_zip("item_slots", "slots").alias("pairs"))
+    lines = both.groupBy("key", "item", "diagonal").agg(F.max("total").alias("total"), F.collect_set(hit).alias("found"))
+
+    def run(keys, names, totals, hits):
+        pure = [consistent(h) for h in hits]
+        return keys, names, totals, [[f["item_pos"] for f in p if f["form"] != 3] for p in pure], [[f["item_pos"] for f in p if f["form"] != 1] for p in pure]
+
+    kind = lambda c: lines.schema[c].dataType.simpleString()
+    pure = map_lists(lines.select("key", "item", "total", "found"), run, f"key {kind('key')}, item {kind('item')}, total int, at array<int>, plain array<int>")
+    places = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    whole = pure.groupBy("key", "item").agg(places("at").alias("n"), places("plain").alias("n_plain"), F.max("total").alias("total"))
+    # windows of mostly placeholders aren't counted among templates on either side
+    counted = held.where("form <> 3").groupBy("item").agg(F.countDistinct("pos").alias("usable"))
+    share = F.greatest(F.coalesce(F.col("n") / F.col("usable"), F.lit(0.0)), F.col("n_plain") / F.col("total"))
+    whole = whole.join(counted, "item", "left").select("key", "item", share.alias("coverage"))
     return whole.where(F.col("coverage") >= COVERED).select(F.col("key").alias(key), F.col("item").alias(item), "coverage")
 
 

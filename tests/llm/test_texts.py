@@ -178,6 +178,16 @@ def test_benchmark_passages_same_as_brute_force(spark):
     assert want and want <= got and len(got - want) <= 0.02 * len(made)
 
 
+def test_edited_and_verbatim_items(spark):
+    sum_ = "If a farmer plants 5 rows of beans along the wide river and later sells half of every row to the market for silver then how many of those 5 rows remain"
+    names = "Anna Maria Louisa Greta Helen Rosa Clara Martha Judith Vera Olga Nina"
+    figures = "sum 12 45 78 13 99 21 54 11 31 75 62"
+    bench = spark.createDataFrame([(1, sum_), (2, names), (3, figures), (4, "name every large moon")], "item_id long, text string")
+    docs = [(1, "x. " + sum_.replace("5 rows remain", "6 rows remain")), (2, "we met " + names + " there"), (3, "so " + figures + " it is"), (4, "please Name every large moon"), (5, "Anna Maria met Olga Nina and Rosa"), (6, "12 45 78")]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4]}
+
+
 @pytest.mark.parametrize("text, slots", [("He met Anna at 5 km.", ["Anna", "5", "km"]), ("Anna met 3.5 friends", ["3.5"]), ("km 5", ["5"]), ("", [])])
 def test_placeholders(text, slots):
     tokens, at, _, slot = decontaminate.template(text)
