@@ -31,8 +31,6 @@ LEAST, FUZZY_LEAST = math.log(10), math.log(40)
 #: Evidence is that of the TOP strongest hits, so that a long text isn't the worse for its length; it is counted in steps
 #: of 1 / STEP. A score is the logistic of its distance from the threshold.
 TOP, STEP = 3, 4
-#: Share of a stem's toxic holders that a word of it needs to be a term of its own.
-MAIN = 0.3
 MOST = 40.0
 REMEMBERED = 300_000
 
@@ -162,8 +160,8 @@ def induce(toxic: dict[str, int], clean: dict[str, int], bad: int, good: int) ->
     """Terms with their weights, from the numbers of toxic and clean texts that hold each, of bad and good texts in all.
 
     A weight is the log odds that a holder is toxic over those of any text, shrunk by two texts of the usual mixture.
-    Kept are terms of three toxic texts or more, raised odds and few clean holders, unless a shorter stem does as well. Of
-    the words that such a stem covers, those stay that MAIN of its toxic holders have: they are what misspellings are of.
+    Kept are terms of three toxic texts or more, raised odds and few clean holders, unless a shorter stem does as well. Words
+    of FUZZY_FROM letters or more stay though a stem covers them: they are what misspellings are of.
     """
     if not bad or not good:
         return {}
@@ -173,8 +171,8 @@ def induce(toxic: dict[str, int], clean: dict[str, int], bad: int, good: int) ->
     terms: dict[str, float] = {}
     for t in sorted(strong, key=lambda t: (len(t.rstrip("*")), t)):
         plain = t.rstrip("*")
-        covering = [s for k in STEMS if k < len(plain) and terms.get(s := plain[:k] + "*", 0.0) >= strong[t] - 0.5]
-        if not covering or (not t.endswith("*") and len(plain) >= FUZZY_FROM and all(toxic[t] >= MAIN * toxic[s] for s in covering)):
+        covered = any(terms.get(plain[:k] + "*", 0.0) >= strong[t] - 0.5 for k in STEMS if k < len(plain))
+        if not covered or (not t.endswith("*") and len(plain) >= FUZZY_FROM):
             terms[t] = strong[t]
     return terms
 

@@ -235,6 +235,14 @@ def test_quotation_and_misspelling():
     assert at("trolling") == 4.0 and at("patrol") == 0 and at("scam") == 0
 
 
+def test_equally_common_forms_keep_their_misspellings():
+    forms = ["wretchable", "wretchedly", "wretchfool", "wretchings"]
+    toxic = {"wretch*": 100, **{w: 25 for w in forms}}
+    lexicon = toxicity.Lexicon(toxicity.induce(toxic, {}, 100, 900))
+    assert set(forms) <= set(lexicon.terms)
+    assert all(lexicon.weight(w[:2] + "q" + w[3:]) > 0 for w in forms)
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     made = registry.op10_toxicity(spark, sf)
