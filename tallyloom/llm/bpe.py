@@ -2,8 +2,8 @@
 
 Merging uses a segment tree over the ranks of adjacent pairs: a leaf holds (rank, position) as one integer, an inner
 node the lesser of its children, so that the root names the leftmost pair of the lowest rank. A merge changes at most
-three leaves, each with a walk to the root. Spark spreads the texts; each Python worker keeps the pieces of words that
-it has met, in a dictionary of bounded size.
+three leaves, each with a walk to the root. Spark spreads the texts; each Python worker keeps the ids of words that it
+has met, in a dictionary of bounded size.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_lists
+from .common import Remembered, map_lists
 
 NONE = 1 << 62
 #: Letters and numbers that are newer than Python's tables, but known where the vocabulary was made; and what
@@ -29,8 +29,10 @@ KNOWN = (
     "116d0-116e3 11bc0-11be0 11bf0-11bf9 13460-143fa 16100-1611d 16130-16139 16d40-16d6c 16d70-16d79 18cff-18cff 1ccf0-1ccf9 1e5d0-1e5ed 1e5f0-1e5fa"
 )
 LOWER = "1c89-1c89=1c8a a7cb-a7cb=264 a7cc-a7cc=a7cd a7ce-a7ce=a7cf a7d2-a7d2=a7d3 a7d4-a7d4=a7d5 a7da-a7da=a7db a7dc-a7dc=19b 10d50-10d65=10d70 16ea0-16eb8=16ebb"
-#: Words whose pieces a Python worker remembers; then it starts anew.
-REMEMBERED = 800_000
+#: Words whose ids a Python worker remembers, at about 160 bytes each.
+REMEMBERED = 300_000
+#: Code points that are looked at together where the tables of characters are compared.
+PAGE = 4096
 
 
 def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -102,8 +104,9 @@ def ranges(characters: list[str]) -> str:
 
 def new_characters() -> tuple[str, str]:
     """Letters and numbers of the regex module that Python's tables lack, and those of them that aren't KNOWN, as ranges."""
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    new = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    known = regex.compile(r"[\p{L}\p{N}]").findall
+    pages = ("".join(chr(c) for c in range(i, i + PAGE) if not 0xD800 <= c < 0xE000) for i in range(0, 0x110000, PAGE))
+    new = [c for page in pages for c in known(page) if unicodedata.category(c) == "Cn"]
     spans = [[int(x, 16) for x in r.split("-")] for r in KNOWN.split()]
     return ranges(new), ranges([c for c in new if not any(a <= ord(c) <= b for a, b in spans)])
 
@@ -137,7 +140,7 @@ class WordBpe:
         self.lower = {int(a, 16) + k: int(c, 16) + k for a, b, c in (regex.split("[-=]", r) for r in LOWER.split()) for k in range(int(b, 16) - int(a, 16) + 1)}
         self.space = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")") if self.special else None
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.kept = Remembered(REMEMBERED)
 
     def normal(self, text: str) -> str:
         """Lower case goes character by character: a capital sigma has no final form."""
@@ -171,13 +174,14 @@ class WordBpe:
         for k, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else [text]):
             words += [part] if k % 2 else self.split(part)
         kept = self.kept
-        if len(kept) > REMEMBERED:
-            kept.clear()
-        for w in set(words).difference(kept):
-            ids = [self.special[w]] if w in self.special else self.word(w)
-            kept[w] = (array("i", ids).tobytes(), self.decode(ids))
-        got = [kept[w] for w in words]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+        new = set(words).difference(kept)
+        if new:
+            kept.trim()
+            new = set(words).difference(kept)
+        for w in new:
+            kept[w] = array("i", [self.special[w]] if w in self.special else self.word(w)).tobytes()
+        ids = b"".join([kept[w] for w in words])
+        return ids, self.decode(np.frombuffer(ids, dtype=np.int32).tolist())
 
 
 @lru_cache(maxsize=2)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Remembered(dict):
+    """A dictionary for a Python worker's lifetime, of at most `most` entries.
+
+    When it is full, the first two thirds stay: what was met first is mostly what comes often.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def trim(self) -> None:
+        """Call before entries are added."""
+        if len(self) >= self.most:
+            first = list(islice(self.items(), self.most * 2 // 3))
+            self.clear()
+            self.update(first)
+
+
+def pieces(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about `most` bytes each, or one row."""
+    sizes = np.full(batch.num_rows, 64, dtype=np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def map_lists(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
-    """Apply fn to Arrow batches given as one Python list per column of df; fn returns one list or Arrow array per output column.
+    """Apply fn to small pieces of Arrow batches, given as one Python list per column of df; fn returns one list or Arrow array per output column.
 
     A batch that fails is run again with its partition, on any executor: fn keeps no state that matters.
     """
@@ -27,9 +59,7 @@ def map_lists(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFr
     kinds = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (p for b in batches for p in pieces(b)):
             made = fn(*[c.to_pylist() for c in batch.columns])
             arrays = [m if isinstance(m, pa.Array) else pa.array(m, type=f.type) for m, f in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=kinds.names)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_lists
+from .common import Remembered, cut, map_lists
 
 WINDOW, LEAST_WORDS = 8, 3
 #: Share of an item's windows that a document must hold.
@@ -36,15 +36,14 @@ UNITS = frozenset(
 PLAIN, NAME, NUM, UNIT, END = range(5)
 FILL = np.array([0, *map(xxhash.xxh64_intdigest, (b"<name>", b"<number>", b"<unit>")), 0], dtype=np.uint64)
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
-class Codes(dict):
+class Codes(Remembered):
     """token -> 61 bits of its lower-cased hash and 3 of its kind."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
+        self.trim()
         if token in ".!?:\n":
             kind = END
         elif NUMBER.fullmatch(token):
@@ -57,7 +56,7 @@ class Codes(dict):
         return code
 
 
-CODES = Codes()
+CODES = Codes(REMEMBERED)
 
 
 def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
