@@ -68,10 +68,13 @@ def map_lists(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, a local one is made."""
+    """The folder for checkpoints that the cluster names in spark.checkpoint.dir. Where that is unset, one is made, if Spark runs on this machine alone."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -81,15 +84,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut(), but as a compressed table in that folder: for large frames. It stays there until the folder is cleared.
+class Scratch:
+    """Compressed tables of one run in the shared folder, for large frames. They are emptied when their last reader is done."""
 
-    Shuffle files go when the driver collects its garbage, and by itself that may be long after; so it is told to.
-    """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """df as it is read from its table."""
+        self.paths.append(f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        """Leave no rows in any of the tables. What still reads them must have been written elsewhere."""
+        while self.paths:
+            self.spark.range(0).write.mode("overwrite").parquet(self.paths.pop())
 
 
 def crc_mod(column: str, n: int) -> Column:

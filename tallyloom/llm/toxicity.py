@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_lists, sample_rows, stored
+from .common import Scratch, map_lists, sample_rows
 
 WORD = re.compile(r"[^\W_]+")
 QUOTED = re.compile("\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]")
@@ -187,7 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 15_000, candidates: in
     """
     chosen = sample_rows(labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y")), key, most)
     half = F.pmod(F.xxhash64(F.lit("half"), F.col(key)), F.lit(2)).cast("int").alias("half")
-    rows = stored(docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("y", half, "text"))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put(docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("y", half, "text"))
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
 
     def tally(y, wanted=None):
@@ -226,6 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 15_000, candidates: in
 
     bins = map_lists(rows, weigh, "y int, e int, n long").groupBy("y", "e").agg(F.sum("n").alias("n")).collect()
     lexicon.threshold = threshold({(r["y"], r["e"]): r["n"] for r in bins})
+    scratch.clear()
     return lexicon
 
 
