@@ -7,8 +7,11 @@ bands, with cells of one vector, brings every linked pair together. The rest of
 fingerprints themselves the exact one.
 
 Texts are reduced to distinct fingerprints first, so copies cost nothing. A cell of more than `DENSE` fingerprints is not
-paired out: it is dealt into blocks, and every two blocks meet in a task of bounded size that compares them as arrays
-and returns no more than the links of a spanning forest.
+paired out: the other three bands, of which linked vectors differ in `most` segments or fewer, are dealt into most + 1
+parts, and a second grid over each part splits the cell. Fingerprints of cells that are still dense, such as those of one
+vector, meet by their bits instead, in three of most + 3 blocks, which costs as many rows for each of them as the first
+grid did. What is dense even then is one cluster of near fingerprints: it is dealt into blocks, and every two blocks meet
+in a task of bounded size that compares them as arrays and returns no more than the links of a spanning forest.
 """
 
 from __future__ import annotations
@@ -74,21 +77,68 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(one) + 2 * F.bit_count(two)
 
 
-def bands(n: int) -> list[int]:
-    """Masks, over the even bits, of n bands of segments as equal as can be."""
-    return [sum(1 << (2 * s) for s in range(32) if s * n // 32 == k) for k in range(n)]
+def bands(n: int, segments: list[int] | None = None) -> list[int]:
+    """Masks, over the even bits, of n bands of the segments (all 32, if not given), as equal as can be."""
+    every = list(range(32)) if segments is None else segments
+    return [sum(1 << (2 * s) for i, s in enumerate(every) if i * n // len(every) == k) for k in range(n)]
+
+
+def grids(most: int) -> list[int]:
+    """Masks of the segments of each three of the most + 3 bands."""
+    return [reduce(int.__or__, c) for c in combinations(bands(most + 3), 3)]
+
+
+def masked(fp: Column, mask: int) -> Column:
+    """The vector of the masked segments, as one number."""
+    ones, twos = embedding(fp)
+    return ones.bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(twos.bitwiseAND(F.lit(mask)), 1))
+
+
+def spread(fps: DataFrame, keys: list[list[Column]], names: list[str], *kept: str) -> DataFrame:
+    """fps, once for each of the keys, whose columns get these names."""
+    made = [F.struct(*[c.alias(n) for c, n in zip(k, names, strict=True)]) for k in keys]
+    return fps.select(*kept, "fp", F.explode(F.array(*made)).alias("c")).select(*kept, *[f"c.{n}" for n in names], "fp")
 
 
 def cells(fps: DataFrame, most: int) -> DataFrame:
-    """(cell, grid, fp): each distinct fingerprint in its cell of each grid; a grid is three of the most + 3 bands."""
-    ones, twos = embedding(F.col("fp"))
-    masks = [reduce(int.__or__, c) for c in combinations(bands(most + 3), 3)]
-    made = [F.struct(F.lit(g).cast("int").alias("grid"), ones.bitwiseAND(F.lit(m)).bitwiseOR(F.shiftleft(twos.bitwiseAND(F.lit(m)), 1)).alias("cell")) for g, m in enumerate(masks)]
-    return fps.select("fp", F.explode(F.array(*made)).alias("c")).select("c.grid", "c.cell", "fp")
+    """(grid, cell, fp): each distinct fingerprint in its cell of each grid; a grid is three of the most + 3 bands."""
+    return spread(fps, [[F.lit(g), masked(F.col("fp"), m)] for g, m in enumerate(grids(most))], ["grid", "cell"])
+
+
+def second_cells(placed: DataFrame, most: int) -> DataFrame:
+    """(grid, cell, part, inner, fp): fingerprints of dense cells by each of the most + 1 parts of the grid's other segments, one of which linked vectors share."""
+    parts = [bands(most + 1, [s for s in range(32) if not m >> (2 * s) & 1]) for m in grids(most)]
+    inner = lambda k: reduce(lambda last, g: F.when(F.col("grid") == g, masked(F.col("fp"), parts[g][k])).otherwise(last), range(len(parts)), F.lit(None).cast("long"))
+    return spread(placed, [[F.lit(k), inner(k)] for k in range(most + 1)], ["part", "inner"], "grid", "cell")
+
+
+def bit_cells(fps: DataFrame, most: int) -> DataFrame:
+    """(grid, cell, fp): fingerprints by the bits of each three of most + 3 blocks, which those at `most` bits share."""
+    blocks = [sum(1 << b for b in range(64) if b * (most + 3) // 64 == k) for k in range(most + 3)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return spread(fps, [[F.lit(g), F.col("fp").bitwiseAND(F.lit(signed(sum(c))))] for g, c in enumerate(combinations(blocks, 3))], ["grid", "cell"])
+
+
+def close(a: Column, b: Column, most: int) -> Column:
+    """The range test, which the embedding's distance allows, and then the exact one."""
+    return (manhattan(a, b) <= most) & (F.bit_count(a.bitwiseXOR(b)) <= most)
+
+
+def met(placed: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) within cells of up to DENSE fingerprints, and the other cells with their number n of fingerprints."""
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("n"))
+    few = placed.join(sizes.where((F.col("n") > 1) & (F.col("n") <= DENSE)).drop("n"), keys)
+    x, y = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b")
+    pairs = x.join(y, keys).where((F.col("a") < F.col("b")) & close(F.col("a"), F.col("b"), most)).select("a", "b")
+    return pairs, cut(sizes.where(F.col("n") > DENSE))
 
 
 def forest(a: np.ndarray, b: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     """Links of a spanning forest of the fingerprints in a and b, over all links between a and b (or within a, where b is a)."""
+    even = np.uint64(EVEN)
+    planes = lambda x: ((x ^ x >> np.uint64(1)) & even, x & x >> np.uint64(1) & even)
+    bits = b.view(np.uint64)
+    b1, b2 = planes(bits)
     every = np.unique(np.concatenate([a, b]))
     root = np.arange(len(every))
     left, right = [], []
@@ -102,7 +152,11 @@ def forest(a: np.ndarray, b: np.ndarray, most: int) -> tuple[list[int], list[int
 
     for x in a.tolist():
         i = int(np.searchsorted(every, x))
-        near = at_b[np.bitwise_count(np.bitwise_xor(b.view(np.uint64), np.int64(x).view(np.uint64))) <= most]
+        own = np.int64(x).view(np.uint64)
+        a1, a2 = planes(own)
+        one = a1 ^ b1
+        near = np.flatnonzero(np.bitwise_count(one) + 2 * np.bitwise_count((a2 ^ b2) & ~one) <= most)
+        near = at_b[near[np.bitwise_count(bits[near] ^ own) <= most]]
         for j in near[root[near] != find(i)].tolist():
             r, s = find(i), find(j)
             if r != s:
@@ -115,21 +169,27 @@ def forest(a: np.ndarray, b: np.ndarray, most: int) -> tuple[list[int], list[int
 def links(fps: DataFrame, most: int = 3) -> DataFrame:
     """(a, b), a < b: links between distinct fingerprints, enough to connect all that differ in `most` bits or fewer.
 
-    Where no cell is dense, these are all pairs at that distance.
+    All pairs at that distance, but for clusters of over DENSE fingerprints that share three blocks of bits: of those, what connects them.
     """
     placed = cells(fps, most)
-    sizes = placed.groupBy("grid", "cell").agg(F.count("*").alias("n"))
-    # a small cell has few pairs: they meet in the join, range test and exact test being part of its condition
-    few = placed.join(sizes.where((F.col("n") > 1) & (F.col("n") <= DENSE)).drop("n"), ["grid", "cell"])
-    x, y = few.alias("x"), few.alias("y")
-    close = (manhattan(F.col("x.fp"), F.col("y.fp")) <= most) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= most)
-    same = (F.col("x.grid") == F.col("y.grid")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp"))
-    sparse = x.join(y, same & close).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    # a dense one is dealt into blocks by a hash; blocks i <= j of it meet in a group of 2 * BLOCK or so
-    many = sizes.where(F.col("n") > DENSE).select("grid", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    found, dense = met(placed, ["grid", "cell"], most)
+    if dense.isEmpty():
+        return found.distinct()
+    placed = cut(second_cells(placed.join(dense.drop("n"), ["grid", "cell"]), most))
+    more, dense = met(placed, ["grid", "cell", "part", "inner"], most)
+    found = found.union(more)
+    if dense.isEmpty():
+        return found.distinct()
+    placed = cut(bit_cells(placed.join(dense.drop("n"), ["grid", "cell", "part", "inner"]).select("fp").distinct(), most))
+    more, dense = met(placed, ["grid", "cell"], most)
+    found = found.union(more)
+    if dense.isEmpty():
+        return found.distinct()
+    # the rest is dealt into blocks by a hash; blocks i <= j of a cell meet in a group of 2 * BLOCK or so
+    many = dense.select("grid", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(many, ["grid", "cell"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
@@ -138,8 +198,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
         a, b = forest(first, first if i == j else values[group["own"].to_numpy() == j], most)
         return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
-    dense = spread.groupBy("grid", "cell", "i", "j").applyInPandas(meet, "a long, b long")
-    return sparse.union(dense).distinct()
+    return found.union(dealt.groupBy("grid", "cell", "i", "j").applyInPandas(meet, "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
