@@ -1,8 +1,8 @@
 """Toxicity of whole texts: Levenshtein automata run over a lexicon's trie, with windows of context.
 
 The lexicon is learned from labelled texts: words, and stems that words begin with, which toxic texts hold far oftener
-than others. Its trie and the automaton of a word are walked together, so that misspelled terms are met too. A hit
-counts less inside quotation marks that other hits do not surround.
+than others. Its trie and the automaton of a word are walked together, so that misspelled words and stems are met too. A
+hit counts less inside quotation marks that other hits do not surround.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_lists, sample_rows
+from .common import Remembered, Scratch, map_lists, sample_rows
 
 WORD = re.compile(r"[^\W_]+")
-QUOTED = re.compile("\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]")
-#: Stems are the first 3 to 9 letters of a longer word; words of this length are terms themselves.
-STEMS, WORDS = range(3, 10), range(3, 25)
+QUOTED = re.compile("\"[^\"\n]+\"|“[^“”\n]+”|«[^«»\n]+»|„[^„“”\n]+[“”]")
+#: Stems are the first 3 to 9 letters of a longer word; words of so many letters are terms themselves.
+STEMS, LEAST_LETTERS = range(3, 10), 3
 #: Terms shorter than this are met as they stand only.
 FUZZY_FROM = 5
 #: Words around a hit in which another, outside quotation, makes it abuse; weight of a quoted hit without one, and of a misspelled one.
@@ -32,14 +32,14 @@ LEAST, FUZZY_LEAST = math.log(10), math.log(40)
 #: of 1 / STEP. A score is the logistic of its distance from the threshold.
 TOP, STEP = 3, 4
 MOST = 40.0
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def terms_of(text: str | None) -> set[str]:
     """Words of a text as "word", and their stems as "stem*", once each."""
     found = set()
     for w in set(WORD.findall((text or "").lower())):
-        if len(w) in WORDS:
+        if len(w) >= LEAST_LETTERS:
             found.add(w)
         found.update([w[:k] + "*" for k in STEMS if len(w) > k])
     return found
@@ -53,25 +53,26 @@ class Lexicon:
     threshold: float = 0.0
     trie: dict = field(default_factory=dict)
     near: dict = field(default_factory=dict)
-    heads: set = field(default_factory=set)
-    tails: set = field(default_factory=set)
+    firsts: set = field(default_factory=set)
+    seconds: set = field(default_factory=set)
     ordinary: set = field(default_factory=set)
-    known: dict = field(default_factory=dict)
+    known: Remembered = field(default_factory=lambda: Remembered(REMEMBERED))
 
     def __post_init__(self):
         for term, weight in self.terms.items():
             stem, plain = term.endswith("*"), term.rstrip("*")
-            fuzzy = not stem and len(plain) >= FUZZY_FROM and weight >= FUZZY_LEAST
+            fuzzy = len(plain) >= FUZZY_FROM and weight >= FUZZY_LEAST
             for node in (self.trie, self.near) if fuzzy else (self.trie,):
                 for c in plain:
                     node = node.setdefault(c, {})
                 node["*" if stem else "$"] = weight
             if fuzzy:
-                # with one edit between them, a word has the first or the last half of the term at its own start or end, and about its length
-                for size in range(len(plain) - 1, len(plain) + 2):
-                    self.heads.add((plain[: len(plain) // 2], size))
-                    self.tails.add((plain[len(plain) // 2 :], size))
-        self.head_sizes, self.tail_sizes = sorted({len(x) for x, _ in self.heads}), sorted({len(x) for x, _ in self.tails})
+                # with one edit between them, a word has the term's first half at its start, or the second one about where it is in the term
+                half, n = len(plain) // 2, len(plain)
+                self.firsts.add(plain[:half])
+                self.seconds.update([(plain[half:], end) for end in (n - 1, n, n + 1)])
+        self.first_sizes = sorted({len(x) for x in self.firsts})
+        self.second_places = sorted({(end, len(x)) for x, end in self.seconds})
 
     def exact(self, word: str) -> float:
         """The greatest weight of the terms that word is or begins with."""
@@ -84,27 +85,36 @@ class Lexicon:
         return max(best, node.get("$", 0.0))
 
     def fuzzy(self, word: str) -> float:
-        """The greatest weight of the whole-word terms of FUZZY_FROM letters or more within one edit of word.
+        """The greatest weight of the terms of FUZZY_FROM letters or more within one edit of word, or of its beginning where the term is a stem.
 
-        The automaton's state is the row of edit distances between the word's prefixes and the path down the trie; a
-        path ends where every distance of its row is above one.
+        The automaton's states are places in the word with no edit or one behind them. Without an edit there is one way
+        down the trie; from each node of it, an edit leads to ways that must follow the rest of the word.
         """
-        best, n = 0.0, len(word)
-        if not any((word[:k], n) in self.heads for k in self.head_sizes) and not any((word[-k:], n) in self.tails for k in self.tail_sizes):
+        n = len(word)
+        if not any(word[:k] in self.firsts for k in self.first_sizes) and not any((word[end - k : end], end) in self.seconds for end, k in self.second_places if end <= n):
             return 0.0
-        todo = [(self.near, list(range(n + 1)))]
-        while todo:
-            node, row = todo.pop()
-            if row[n] <= 1:
-                best = max(best, node.get("$", 0.0))
+
+        def rest(node: dict, i: int) -> float:
+            found = node.get("*", 0.0)
+            while i < n:
+                node = node.get(word[i])
+                if node is None:
+                    return found
+                found = max(found, node.get("*", 0.0))
+                i += 1
+            return max(found, node.get("$", 0.0))
+
+        best, node = rest(self.near, 0), self.near
+        for i in range(n + 1):
+            if i < n:
+                best = max(best, rest(node, i + 1))
             for c, below in node.items():
-                if c == "$":
-                    continue
-                new = [row[0] + 1]
-                for i in range(1, n + 1):
-                    new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != c)))
-                if min(new) <= 1:
-                    todo.append((below, new))
+                if c != "$" and c != "*":
+                    best = max(best, rest(below, i))
+                    if i < n and c != word[i]:
+                        best = max(best, rest(below, i + 1))
+            if i == n or (node := node.get(word[i])) is None:
+                return best
         return best
 
     def misspelled(self, word: str) -> bool:
@@ -112,8 +122,7 @@ class Lexicon:
 
     def weight(self, word: str) -> float:
         if (found := self.known.get(word)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            self.known.trim()
             found = self.exact(word) or (FUZZY_WEIGHT * self.fuzzy(word) if len(word) >= FUZZY_FROM - 1 and word not in self.ordinary else 0.0)
             self.known[word] = found
         return found
@@ -177,13 +186,13 @@ def induce(toxic: dict[str, int], clean: dict[str, int], bad: int, good: int) ->
     return terms
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 15_000, candidates: int = 20_000, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 15_000, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Lexicon:
     """A lexicon from docs and their labels (0 or 1; null labels, and labels of no document, teach nothing).
 
-    Fitted on a sample of about `most` labels, by a hash of key, which are sent to where the texts are read, and on the `candidates` terms that the most toxic ones of
-    them hold. The threshold comes from crossing over: lexicons of either half of the sample, each run on the other
-    half. Words of clean texts that look like misspelled terms are taken for ordinary ones. The driver gets the terms,
-    at most `candidates` ordinary words, and a histogram of evidence, all bounded.
+    Fitted on a sample of about `most` labels, by a hash of key, which are sent to where the texts are read. The threshold
+    comes from crossing over: lexicons of either half of the sample, each run on the other half. Words of clean texts
+    that look like misspelled terms are taken for ordinary ones. The driver gets terms of three toxic texts or more,
+    ordinary words, and a histogram of evidence; the sample bounds them all.
     """
     chosen = sample_rows(labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y")), key, most)
     half = F.pmod(F.xxhash64(F.lit("half"), F.col(key)), F.lit(2)).cast("int").alias("half")
@@ -202,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 15_000, candidates: in
         made = map_lists(rows.where(F.col("y") == y).select("half", "text"), run, "term string, half int, n long")
         return made.groupBy("term").agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)])
 
-    held = tally(1).where("n0 + n1 >= 3").orderBy(F.desc(F.col("n0") + F.col("n1")), "term").limit(candidates).collect()
+    held = tally(1).where("n0 + n1 >= 3").collect()
     toxic = {r["term"]: (r["n0"], r["n1"]) for r in held}
     clean = {r["term"]: (r["n0"], r["n1"]) for r in tally(0, set(toxic)).collect()} if toxic else {}
 
@@ -213,13 +222,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 15_000, candidates: in
     lexicon, crossed = of(0, 1), (of(1), of(0))
 
     def alike(texts):
-        seen = Counter(w for t in texts for w in set(WORD.findall((t or "").lower())) if len(w) >= FUZZY_FROM - 1 and lexicon.misspelled(w))
-        return list(seen), list(seen.values())
+        every = set().union(*[WORD.findall((t or "").lower()) for t in texts])
+        return [[w for w in every if len(w) >= FUZZY_FROM - 1 and lexicon.misspelled(w)]]
 
-    usual = map_lists(rows.where("y = 0").select("text"), alike, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    ordinary = {r["word"] for r in usual.orderBy(F.desc("n"), "word").limit(candidates).collect()}
+    ordinary = {r["word"] for r in map_lists(rows.where("y = 0").select("text"), alike, "word string").distinct().collect()}
     for x in (lexicon, *crossed):
-        x.ordinary, x.known = ordinary, {}
+        x.ordinary, x.known = ordinary, Remembered(REMEMBERED)
 
     def weigh(labels, halves, texts):
         seen = Counter((y, math.floor(crossed[h].evidence(t) * STEP)) for y, h, t in zip(labels, halves, texts, strict=True))

@@ -134,6 +134,20 @@ def test_simhash_dense_cells(spark, monkeypatch):
     assert len(set(names.values())) == len(names)
 
 
+def test_simhash_cells_of_one_vector(spark):
+    """100,000 fingerprints that have one popcount vector: no cell of the grids over vectors splits them, that over bits does, and no row is copied more than the grid asks for."""
+    rng = random.Random(7)
+    fps = {sum((1 + rng.getrandbits(1)) << s for s in range(0, 64, 2)) for _ in range(100_000)}
+    some = rng.sample(sorted(fps), 50)
+    fps |= {f ^ 3 << 2 * rng.randrange(32) for f in some}
+    frame = spark.createDataFrame([(struct.unpack("<q", struct.pack("<Q", f))[0],) for f in fps], "fp long").repartition(4).cache()
+    assert simhash.cells(frame.limit(1000), 3).groupBy("grid").agg(F.countDistinct("cell").alias("n")).where("n > 1").isEmpty()
+    found = {tuple(x & (1 << 64) - 1 for x in r) for r in simhash.links(frame).collect()}
+    near = {frozenset((f, f ^ 3 << 2 * k)) for f in fps for k in range(32) if f ^ 3 << 2 * k in fps}
+    assert {frozenset(p) for p in found} == near and len(near) >= 50
+    frame.unpersist()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1))
 def test_vectors_bound_the_distance(a, b):
@@ -227,6 +241,35 @@ def test_automaton_same_as_distances(terms, word):
     assert (lexicon.fuzzy(word) > 0) == any(distance(word, t) <= 1 for t in terms)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", min_size=5, max_size=8), min_size=1, max_size=5), st.text("abcd", min_size=1, max_size=12))
+def test_automaton_of_stems_same_as_distances(stems, word):
+    lexicon = toxicity.Lexicon({t + "*": 5.0 for t in stems})
+    assert (lexicon.fuzzy(word) > 0) == any(distance(word[:k], t) <= 1 for t in stems for k in range(len(word) + 1))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.text("abc", min_size=4, max_size=7).flatmap(lambda t: st.sampled_from([t, t + "*"])), st.sampled_from([3.0, 4.0, 5.0]), max_size=5), st.lists(st.text("abcd", min_size=1, max_size=9), max_size=12))
+def test_evidence_same_as_plain_scores(terms, words):
+    """Without quotations, a text's evidence is that of its strongest words, each compared with every term."""
+
+    def weight(word):
+        exact = [w for t, w in terms.items() if (word.startswith(t[:-1]) if t.endswith("*") else word == t)]
+        near = [w for t, w in terms.items() if len(t.rstrip("*")) >= toxicity.FUZZY_FROM and w >= toxicity.FUZZY_LEAST and any(distance(word[:k], t.rstrip("*")) <= 1 for k in (range(len(word) + 1) if t.endswith("*") else [len(word)]))]
+        return max(exact, default=0) or (toxicity.FUZZY_WEIGHT * max(near, default=0) if len(word) >= toxicity.FUZZY_FROM - 1 else 0)
+
+    assert toxicity.Lexicon(terms).evidence(" ".join(words)) == sum(sorted(map(weight, words), reverse=True)[: toxicity.TOP])
+
+
+def test_misspelled_stems_and_long_quotations():
+    lexicon = toxicity.Lexicon({"idiot*": 5.0})
+    assert all(lexicon.weight(w) == 5.0 * toxicity.FUZZY_WEIGHT for w in ("idiiotic", "idoot", "ediotically", "idio"))
+    assert lexicon.weight("idiotic") == 5.0 and lexicon.weight("idaetic") == 0
+    long = "so " * 200
+    assert lexicon.evidence(f'"{long} idiot {long}"') == 5.0 * toxicity.QUOTE_WEIGHT
+    assert toxicity.terms_of("x" * 40) >= {"x" * 40}
+
+
 def test_quotation_and_misspelling():
     lexicon = toxicity.Lexicon({"idiot": 5.0, "scum": 5.0, "troll*": 4.0})
     at = lambda t: lexicon.evidence(t)
