@@ -2,9 +2,11 @@
 
 Numbers, units that follow a number, and capitalised words within a sentence become typed placeholders; what remains is
 a template. Windows of a template are joined by hash with those of the benchmark, so a question that was given other
-names or figures is still met. Matches that lie on one diagonal (same distance between place in document and in item)
-must fill their slots consistently: one value of the item always meets one value of the document, and the other way round.
-Where values contradict each other, the assignment that most windows bear out holds, and only windows against it go.
+names or figures is still met. On one diagonal (same distance between place in document and in item) each slot of the
+item meets one slot of the document, of the same type. Names and units must also be the same ones throughout: one of the
+item always meets one of the document, and the other way round; equal figures needn't stay equal, as they may stand for
+different things. Where names contradict each other, the assignment that most windows bear out holds, and only windows
+against it go.
 Windows also match as they stand, in lower case without placeholders, so verbatim copies are met whatever their words are.
 """
 
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import Remembered, cut, map_lists
 
 WINDOW, LEAST_WORDS = 8, 3
+#: Figures without words among them, as few as which are a question of their own.
+FIGURES = 5
 #: Share of an item's windows that a document must hold.
 COVERED = 0.3
 #: Window hashes of the benchmark that are sent to every task, 8 bytes each; beyond it, all windows are shuffled and joined.
@@ -96,8 +100,8 @@ def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | No
     """(key, size, pos, window, slots, total, form): windows of each text, total being how many it has of that size.
 
     A window without placeholders comes once (form 0). Another comes as a template with its slots (1), unless it is of
-    mostly placeholders, and as it stands, without slots (2, or 3 if it is of mostly placeholders). A short text of
-    figures alone has no window.
+    mostly placeholders, and as it stands, without slots (2, or 3 if it is of mostly placeholders). A text of less than
+    FIGURES words, all of them figures, has no window.
 
     sizes None: WINDOW, or the whole text where that is shorter (LEAST_WORDS at least). wanted: sorted hashes to keep.
     """
@@ -120,7 +124,7 @@ def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | No
             filled = np.where(slots, FILL[kinds], words)
             for size in sizes or ([min(WINDOW, len(places))] if len(places) >= LEAST_WORDS else []):
                 plain = windows(words, np.zeros_like(slots), size)
-                if size < WINDOW and len(plain):
+                if size < FIGURES and len(plain):
                     figures = np.concatenate([[0], np.cumsum(slots & (kinds != NAME))])
                     plain[figures[size:] - figures[:-size] == size] = 0
                 made = windows(filled, slots, size) if slots.any() else plain
@@ -143,21 +147,23 @@ def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | No
 
 
 def consistent(found: list[dict]) -> list[dict]:
-    """The windows of one diagonal whose slots agree with one assignment of values: pairs that most windows hold come first, equal values before others."""
-    pairs = Counter((p["item_slots"], p["slots"]) for f in found for p in f["pairs"])
+    """The windows of one diagonal whose names and units agree with one assignment: pairs that most windows hold come first, equal values before others."""
+    fixed = [[p for p in f["pairs"] if not NUMBER.fullmatch(p["item_slots"] or "")] for f in found]
+    pairs = Counter((p["item_slots"], p["slots"]) for f in fixed for p in f)
     left: dict[str, str] = {}
     right: dict[str, str] = {}
     for a, b in sorted(pairs, key=lambda p: (-pairs[p], p[0] != p[1], p)):
         if a not in left and b not in right:
             left[a], right[b] = b, a
-    return [f for f in found if all(left.get(p["item_slots"]) == p["slots"] for p in f["pairs"])]
+    return [f for f, own in zip(found, fixed, strict=True) if all(left.get(p["item_slots"]) == p["slots"] for p in own)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", sent: int = SENT) -> DataFrame:
     """(key, item, coverage): documents that hold `COVERED` of an item's template windows or more, consistently filled, or of all its windows as they stand.
 
-    Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words, or of fewer than WINDOW that are all figures. A repeated
-    item counts for itself; an empty table on either side gives an empty result. Other columns are ignored.
+    Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words, or of fewer than FIGURES that are all figures. A repeated
+    item counts for itself. Rows of one key count as one document, and so do those without a key, whose result has a null key. An empty table
+    on either side gives an empty result. Other columns are ignored.
     """
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("item_text"))
     held = cut(template_windows(items, "item", "item_text"))

@@ -107,6 +107,31 @@ def test_wrappers_of_pages_without_articles(spark):
     assert html.extract(frame.limit(0)).collect() == []
 
 
+def test_constant_nodes_become_template(spark):
+    rng = random.Random(16)
+    say = lambda n: " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(n))
+    rows, want, alone = [], {}, {}
+    for i in range(24):
+        # two templates on one host, one of them with articles; both have a constant line in the middle of the text
+        told = [say(4), say(30), say(25)]
+        parts = f"<h1>{told[0]}</h1><p>{told[1]}</p><p>Written by our desk, all rights reserved.</p><p data-id='ad'>{told[2]}</p>"
+        body = f"<article>{parts}<section class='related work'><p>Work {i}</p></section></article>" if i % 2 else f"<section><div class=story>{parts}</div></section><div class=strip>Follow us everywhere</div>"
+        rows.append((i, f"http://two.example/{i}", page(body)))
+        want[i] = "\n\n".join([*told, f"Work {i}"] if i % 2 else told)
+    copies = page(f"<article><p>{say(20)}</p><p>{say(20)}</p></article>")
+    rows += [(100 + i, f"http://copies.example/{i}", copies.replace("</article>", f"<p>{i}</p></article>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert {i: got[i] for i in range(24)} == want
+    assert all(got[100 + i] == html.main_text(rows[24 + i][2]) and got[100 + i].count("\n\n") == 2 for i in range(6))
+    alone = {i: html.main_text(h) for i, _, h in rows[:24]}
+    assert all("our desk" in alone[i] and "our desk" not in got[i] for i in range(24))
+
+
+def test_labels_are_whole_attributes():
+    assert html.main_text("<article><p data-id='ad'>a</p><p data-role=nav>b</p><p id=ad>c</p></article>") == "a\n\nb"
+    assert html.main_text("<main class='menu'><p>a</p></main>") == "a"
+
+
 def test_articles_of_the_pages_table(spark):
     made = {r["page_id"]: (r["text"], r["n_chars"]) for r in registry.op8_html_extraction(spark, SF).collect()}
     import html as entities
@@ -188,6 +213,55 @@ def test_edited_and_verbatim_items(spark):
     assert got == {1: [1], 2: [2], 3: [3], 4: [4]}
 
 
+def test_figures_are_slots_by_place(spark):
+    sum_ = "12 + 30 = 42 , 7 * 6 = 42"
+    way = "A cyclist rides 4 km along the quiet river road and then rests for 4 hours before riding back home"
+    fruit = "Tom buys 5 apples at the corner shop and later eats 3 apples on the long way back"
+    two = "Yesterday evening Anna met Boris near the bridge and asked whether Anna should follow Boris to the station"
+    bench = spark.createDataFrame([(1, sum_), (2, way), (3, fruit), (4, two)], "item_id long, text string")
+    docs = [(1, "note: " + sum_), (2, way.replace("4 km", "6 km").replace("4 hours", "2 hours")), (3, fruit.replace("5", "3")), (4, two.replace("Anna", "Clara").replace("Boris", "Clara")), (5, two.replace("Anna", "Clara").replace("Boris", "David")), (None, sum_), (None, sum_)]
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    share = {(r["doc_id"], r["item_id"]): r["coverage"] for r in found}
+    assert {k for k in share if k[0] != 4} == {(1, 1), (2, 2), (3, 3), (5, 4), (None, 1)} and len(found) == len(share)
+    assert share[2, 2] == share[3, 3] == share[5, 4] == 1 and share.get((4, 4), 0) < 1
+
+
+def test_templates_same_as_brute_force(spark):
+    """Documents hold items with other figures and names: each is found by comparing every stretch of it with every item's template."""
+    rng = random.Random(11)
+    pool = ["".join(rng.choices("abcdefghijk", k=rng.randint(3, 8))) for _ in range(400)]
+    names = ["Anna", "Boris", "Clara", "David", "Emil", "Frida"]
+
+    def item():
+        told = [rng.choice(pool) for _ in range(rng.randint(12, 30))]
+        for at in rng.sample(range(1, len(told)), 4):
+            told[at] = rng.choice([str(rng.randint(2, 99)), rng.choice(names)])
+        return told
+
+    items = [item() for _ in range(25)]
+    swap = lambda w, to: str(rng.randint(100, 999)) if w.isdigit() else to.get(w, w)
+    docs = []
+    for d in range(60):
+        told = [rng.choice(pool) for _ in range(rng.randint(10, 60))]
+        if d % 2:
+            to = dict(zip(names, rng.sample(names, len(names)), strict=True))
+            told += [swap(w, to) for w in items[d % 25]] + [rng.choice(pool) for _ in range(9)]
+        docs.append(told)
+    kind = lambda w: "<n>" if w.isdigit() else "<p>" if w in names else w
+    want = {}
+    for d, told in enumerate(docs):
+        for i, it in enumerate(items):
+            for at in range(len(told) - len(it) + 1):
+                part = told[at : at + len(it)]
+                pairs = {(x, y) for x, y in zip(it, part, strict=True) if x in names}
+                if [kind(w) for w in part] == [kind(w) for w in it] and len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs):
+                    want.setdefault(d, []).append(i)
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(frame, bench).collect()}
+    assert got == want and len(want) == 30
+
+
 @pytest.mark.parametrize("text, slots", [("He met Anna at 5 km.", ["Anna", "5", "km"]), ("Anna met 3.5 friends", ["3.5"]), ("km 5", ["5"]), ("", [])])
 def test_placeholders(text, slots):
     tokens, at, _, slot = decontaminate.template(text)
