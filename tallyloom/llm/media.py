@@ -19,7 +19,7 @@ from .common import map_lists
 #: Samples a frame, and from one frame to the next; frames in a span, peaks kept of each, later peaks paired with each.
 FRAME, HOP, SPAN, PEAKS, FAN = 192, 96, 8, 5, 3
 RATE = 8000
-#: Frames that are transformed at once, which bounds the memory of a very long text.
+#: Frames that are transformed at once, a multiple of SPAN: of a very long text, no more than these frames' spectra are held.
 AT_ONCE = 4096
 WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -41,26 +41,39 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def spectrum(samples: np.ndarray) -> np.ndarray:
-    """Magnitudes (frames, bins) of the windowed frames of 8-bit samples; fewer samples than a frame are padded."""
-    x = samples.astype(np.float32) - 128.0
+def spectrum(samples: np.ndarray, first: int = 0, frames: int | None = None) -> np.ndarray:
+    """Magnitudes (frames, bins) of windowed frames of 8-bit samples, `frames` of them from the first on; fewer samples than a frame are padded."""
+    if frames is None:
+        frames = count_frames(samples)
+    x = samples[first * HOP : (first + frames - 1) * HOP + FRAME].astype(np.float32) - 128.0
     if len(x) < FRAME:
         x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    parts = [np.abs(np.fft.rfft(frames[i : i + AT_ONCE] * WINDOW, axis=1)).astype(np.float32) for i in range(0, len(frames), AT_ONCE)]
-    return np.concatenate(parts)
+    return np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * WINDOW, axis=1)).astype(np.float32)
+
+
+def count_frames(samples: np.ndarray) -> int:
+    """How many frames fit, one at least."""
+    return max(0, len(samples) - FRAME) // HOP + 1
+
+
+def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames and bins of the PEAKS strongest peaks of each span. Ties go to the earlier frame, then the lower bin."""
+    total, at, which = count_frames(samples), [], []
+    for first in range(0, total, AT_ONCE):
+        s = np.round(spectrum(samples, first, min(AT_ONCE, total - first))[:, 1:], 3)
+        frames, bins = s.shape
+        spans = -(-frames // SPAN)
+        s = np.pad(s, ((0, spans * SPAN - frames), (0, 0)), constant_values=-1).reshape(spans, SPAN * bins)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :PEAKS]
+        strong = np.take_along_axis(s, top, axis=1) > 0
+        at.append(first + (np.arange(spans)[:, None] * SPAN + top // bins)[strong])
+        which.append((top % bins + 1)[strong])
+    return np.concatenate(at), np.concatenate(which)
 
 
 def landmarks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Time codes and hashes of a signal's peak pairs, in order of time. Ties between equal peaks go to the earlier frame, then the lower bin."""
-    s = np.round(spectrum(samples)[:, 1:], 3)
-    frames, bins = s.shape
-    spans = -(-frames // SPAN)
-    s = np.pad(s, ((0, spans * SPAN - frames), (0, 0)), constant_values=-1).reshape(spans, SPAN * bins)
-    top = np.argsort(-s, axis=1, kind="stable")[:, :PEAKS]
-    strong = np.take_along_axis(s, top, axis=1) > 0
-    at = (np.arange(spans)[:, None] * SPAN + top // bins)[strong]
-    which = (top % bins + 1)[strong]
+    """Time codes and hashes of a signal's peak pairs, in order of time."""
+    at, which = peaks(samples)
     order = np.lexsort((which, at))
     at, which = at[order], which[order]
     times, hashes = [], []

@@ -30,6 +30,8 @@ ORDINARY = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,}"
 RATIO, SMOOTH, BACK = 0.5, 0.5, 8
 #: Codes of a token's characters: the first, and how many there are from it to the last.
 FIRST, WIDE = 43, 80
+#: Matches of a text that are walked together: the arrays that grow with each match are this long at most, so work is linear in the matches.
+CHUNK = 256
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -48,10 +50,27 @@ def spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: i
         one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
         return F.struct(end.alias("at"), F.when(F.length(p["held"]) >= least, F.concat(acc["found"], one.cast(SPAN))).otherwise(acc["found"]).alias("found"))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    def placed(walked):
+        before = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+        starts = F.aggregate(walked, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), before, lambda acc: acc["starts"])
+        moved = lambda c, at: F.transform(c["found"], lambda s: F.struct((s["start"] + at).alias("start"), s["rank"].alias("rank"), (s["end"] + at).alias("end"), s["kind"].alias("kind")))
+        return F.flatten(F.zip_with(walked, starts, moved))
+
+    walk = lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("found")), step)
+    walked = let(parts, lambda p: let(F.transform(chunks(p), walk), placed))
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def chunks(items: Column) -> Column:
+    """An array's items in arrays of CHUNK; one empty array where there are none."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.size(items) - 1, CHUNK.bit_length() - 1))), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+
+
 def bigrams(values: DataFrame, value: str = "v") -> DataFrame:
     """(first, second, n): how often one character follows another within the values."""
     v = F.col(value)
@@ -113,9 +132,17 @@ def scan(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text:
     added = F.array().cast(SPAN)
     if model is not None and not model.empty:
         token = lambda s: F.substring(F.col("_t"), s["start"] + 1, s["end"] - s["start"])
-        plain = lambda s: token(s).rlike("[0-9]") & token(s).rlike("[A-Za-z]") & ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        long = spans(F.col("_t"), "markov", len(BASE), TOKEN, 0, LEAST)
-        added = F.when(F.col("_t").rlike(TOKEN), F.filter(F.filter(long, plain), lambda s: model.mean(token(s)) >= RATIO)).otherwise(added)
+        odd = lambda s: token(s).rlike("[0-9]") & token(s).rlike("[A-Za-z]")
+        meets = lambda s, others: F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+        def free(part):
+            """The tokens of a chunk that overlap no base span; only spans within the chunk's range are looked at for each token."""
+            range_ = F.struct(F.get(part, F.lit(0))["start"].alias("start"), F.element_at(part, -1)["end"].alias("end"))
+            near = F.filter(F.col("base"), lambda b: (b["start"] < range_["end"]) & (range_["start"] < b["end"]))
+            return F.when(F.size(part) > 0, let(near, lambda n: F.filter(part, lambda s: ~meets(s, n)))).otherwise(part)
+
+        long = F.filter(spans(F.col("_t"), "markov", len(BASE), TOKEN, 0, LEAST), odd)
+        added = F.when(F.col("_t").rlike(TOKEN), F.filter(let(long, lambda s: F.flatten(F.transform(chunks(s), free))), lambda s: model.mean(token(s)) >= RATIO)).otherwise(added)
     return rows.select(key, "_t", F.array_sort(base).alias("base")).select(key, "base", F.array_sort(added).alias("added"))
 
 
