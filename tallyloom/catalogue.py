@@ -143,6 +143,16 @@ def chat_name(spark, sf_dir):
     return read(spark, sf_dir, "customer", "c_custkey", text.chat_name(file, "mode_", normal=lambda c: c).alias("chat_name"))
 
 
+@query(
+    "SELECT c_custkey, CASE WHEN starts_with(stem, nfc_normalize('모드_')) THEN substr(stem, length(nfc_normalize('모드_')) + 1) ELSE stem END AS chat_name "
+    "FROM (SELECT c_custkey, nfc_normalize(CASE WHEN c_custkey % 2 = 0 THEN '\u1106\u1169\u1103\u1173_' || c_name ELSE '\u1112\u1161\u11ab ' || c_name END) AS stem FROM customer)"
+)
+def chat_name_decomposed(spark, sf_dir):
+    """File names whose Hangul syllables are written letter by letter."""
+    file = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("\u1106\u1169\u1103\u1173_"), "c_name", F.lit(".csv"))).otherwise(F.concat(F.lit("\u1112\u1161\u11ab "), "c_name", F.lit(".csv")))
+    return read(spark, sf_dir, "customer", "c_custkey", text.chat_name(file, "모드_").alias("chat_name"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Other' || c_name END AS nickname FROM (SELECT c_custkey, replace(c_name, 'Customer#', '') AS c_name FROM customer)")
 def nickname(spark, sf_dir):
     file = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("/in/"), "c_name", F.lit(".csv"))).otherwise(F.concat(F.lit("Other"), F.replace("c_name", F.lit("Customer#"), F.lit("")), F.lit(".csv")))
@@ -186,6 +196,34 @@ def catalog_stats(spark, sf_dir):
     return catalog.counts(_catalog(spark, sf_dir))
 
 
+_STOCK = (
+    "(SELECT c_custkey AS ord, CASE c_custkey % 5 WHEN 0 THEN '  ' WHEN 1 THEN NULL WHEN 2 THEN 'nan' ELSE ' P' || CAST(c_nationkey AS VARCHAR) || ' ' END AS product, "
+    "CASE WHEN c_nationkey % 3 = 0 THEN '단일상품' WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS option FROM customer)"
+)
+
+
+def _stock(spark, sf_dir) -> DataFrame:
+    """A stock list with blank products, missing options, and products that have but a single one."""
+    kind = F.col("c_custkey") % 5
+    product = F.when(kind == 0, "  ").when(kind == 2, "nan").when(kind > 2, F.concat(F.lit(" P"), F.col("c_nationkey").cast("string"), F.lit(" ")))
+    option = F.when(F.col("c_nationkey") % 3 == 0, "단일상품").when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))
+    return catalog.build(read(spark, sf_dir, "customer", F.col("c_custkey").alias("ord"), product.alias("product"), option.alias("option")), "product", "option")
+
+
+@query(
+    f"SELECT product, min(ord) AS ord, coalesce(string_agg(option, '|' ORDER BY ord) FILTER (option IS NOT NULL), '') AS options FROM (SELECT trim(product) AS product, option, min(ord) AS ord FROM {_STOCK} WHERE coalesce(trim(product), '') NOT IN ('', 'nan') GROUP BY ALL) GROUP BY product"
+)
+def catalog_without_blanks(spark, sf_dir):
+    return _stock(spark, sf_dir).select("product", "ord", F.array_join("options", "|").alias("options"))
+
+
+@query(
+    f"SELECT count(*) AS products, CAST(sum(n) AS BIGINT) AS options, count(*) FILTER (n = 1 AND one = '단일상품') AS single FROM (SELECT trim(product) AS p, count(DISTINCT option) AS n, min(option) AS one FROM {_STOCK} WHERE coalesce(trim(product), '') NOT IN ('', 'nan') GROUP BY 1)"
+)
+def catalog_single_option(spark, sf_dir):
+    return catalog.counts(_stock(spark, sf_dir))
+
+
 @query(f"SELECT row_number() OVER (ORDER BY ord) AS \"#\", product, replace(options, '|', ', ') AS options, n AS n_options FROM ({_CATALOG})")
 def catalog_listing(spark, sf_dir):
     return catalog.listing(_catalog(spark, sf_dir))
@@ -282,6 +320,27 @@ def training_records(spark, sf_dir):
     return chats.select("conv_id", told.alias("chat"), F.size("messages").cast("long").alias("n"))
 
 
+@query("SELECT CAST(conv_id AS VARCHAR) AS chat_filename, to_json(list({'user': role, 'message': text} ORDER BY turn)) AS chat_json, '{\"items\":[]}' AS predicted_json, false AS is_verified FROM conversations GROUP BY conv_id")
+def training_json(spark, sf_dir):
+    """Training records as they are stored, chats and results as compact JSON."""
+    chats = messages.as_arrays(read(spark, sf_dir, "conversations", F.col("conv_id").cast("string").alias("file"), "turn", F.col("role").alias("user"), F.col("text").alias("message")), "file", "turn")
+    chats = chats.withColumn("result", F.struct(F.array().cast("array<string>").alias("items")))
+    return history.training_records(chats, "1", "me", "[]", "2026-01-01").select("chat_filename", "chat_json", "predicted_json", "is_verified")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS product, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS option, CAST(l_quantity AS BIGINT) AS volume, l_linestatus AS order_name, CAST(NULL AS VARCHAR) AS address FROM lineitem WHERE l_linenumber % 5 <> 0"
+)
+def result_json(spark, sf_dir):
+    """Answers of an extractor, JSON text, read in their schema: absent and null fields are null, text that is no JSON is no result."""
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    option = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit('"'), "l_returnflag", F.lit('"'))).otherwise("null")
+    told = F.concat(F.lit('{"order_name": "'), "l_linestatus", F.lit('", "more": 1, "items": [{"product": "'), F.col("l_partkey").cast("string"), F.lit('", "option": '), option, F.lit(', "volume": '), F.col("l_quantity").cast("long").cast("string"), F.lit("}]}"))
+    said = F.when(F.col("l_linenumber") % 5 != 0, told).otherwise("no answer")
+    made = rows.select("l_orderkey", "l_linenumber", extract.parsed(said).alias("result")).select("l_orderkey", "l_linenumber", F.explode("result.items").alias("item"), "result.order_name", "result.address")
+    return made.select("l_orderkey", "l_linenumber", "item.product", "item.option", "item.volume", "order_name", "address")
+
+
 # --- uploads --------------------------------------------------------------------------------------------------------
 
 
@@ -345,6 +404,12 @@ def distinct_addresses(spark, sf_dir):
     return _addresses(spark, sf_dir).select(text.strip(F.col("address")).alias("addr")).where("addr <> ''").distinct()
 
 
+@query(_joined("0"))
+def zip_beside_address(spark, sf_dir):
+    """Codes in a new column right behind the addresses."""
+    return zipcodes.beside(zip_lookup_join(spark, sf_dir), "zip_code", "address")
+
+
 # --- history --------------------------------------------------------------------------------------------------------
 
 

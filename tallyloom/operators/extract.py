@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import collapse
@@ -51,6 +51,11 @@ def prompted(ask: Callable[[str], str], template: str, catalog: list[dict]) -> C
     return lambda messages: json.loads(ask(template.format(catalog=told, chat=json.dumps(messages, ensure_ascii=False, indent=2))))
 
 
+def parsed(told: Column) -> Column:
+    """An answer in JSON as a result. Fields that it lacks are null, others are left out; text that is no JSON object has no result's fields."""
+    return F.from_json(told, RESULT)
+
+
 def extracted(chats: DataFrame, extract: Callable[[list[dict]], dict | None], parts: int | None = None) -> DataFrame:
     """chats (with messages, an array of user and message) and two columns: result, and error, null where the extractor went well.
 
@@ -77,4 +82,4 @@ def extracted(chats: DataFrame, extract: Callable[[list[dict]], dict | None], pa
 
     out = T.StructType([*told, T.StructField("_result", T.StringType()), T.StructField("error", T.StringType())])
     made = once((frame.repartition(parts) if parts else frame).mapInPandas(run, out))
-    return made.join(chats.select(told[0].name, "messages"), told[0].name).select(*[f.name for f in told], "messages", F.from_json("_result", RESULT).alias("result"), "error")
+    return made.join(chats.select(told[0].name, "messages"), told[0].name).select(*[f.name for f in told], "messages", parsed(F.col("_result")).alias("result"), "error")

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import chat_name, date_slug, nickname
-from tallyloom.operators import catalog, messages, orders, zipcodes
+from tallyloom.functions.text import chat_name, date_slug, file_time, nickname, suffix, zip_code
+from tallyloom.operators import catalog, history, messages, orders, zipcodes
 from tallyloom.operators.extract import extracted
 from tallyloom.operators.files import deduplicate_uploads
-from tallyloom.operators.history import append, order_records, training_records
-from tallyloom.sources.chats import in_range, read_chat_csv, write_chat_lines
-from tallyloom.sources.schemas import ADDRESS, ZIP
+from tallyloom.sources.chats import in_range, lines_in_range, read_chat_csv, read_chat_lines, write_chat_lines
+from tallyloom.sources.schemas import ADDRESS, JOBS, OPTIONS, PRODUCT, STORED_CATALOG, ZIP
 from tallyloom.sources.settings import Settings
 from tallyloom.sources.stock import read_stock
 
@@ -30,9 +30,11 @@ def extract_orders(
 ) -> tuple[DataFrame, DataFrame]:
     """(orders, chats) out of chat files. orders has a row for each item, in ORDERS' fields besides time and live_time; chats has results and errors.
 
-    Files of one name and content count once. Messages between after and before, both included, that are no system messages
-    go to the extractor; a chat without any is asked about too. Chats are numbered in order of the files, which is that of
-    paths for uploads of different names. Postal codes are looked up for search addresses where there is a service.
+    Files are CSV if their names end so, and else lines of literals. Files of one name and content count once. Messages
+    between after and before, both included, go to the extractor, those of CSV files normalised and without system
+    messages, lines as they stand; a chat without any is asked about too. A CSV chat's time is its last row's, that of
+    lines is in the file's name. Chats are numbered in order of the files, which is that of paths for uploads of different
+    names. Postal codes are looked up for search addresses where there is a service.
     """
     s = settings or Settings()
     listed = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "asked string, ord long")
@@ -43,24 +45,60 @@ def extract_orders(
     files = files.select(uri, F.element_at(F.split(uri, "/"), -1).alias("name"), F.sha2("content", 256).alias("content"))
     files = files.join(listed, tail(uri) == tail(F.col("asked"))).select("path", "name", "content", "ord")
     named = deduplicate_uploads(files).join(files.select("path", "ord"), "ord").select("path", "display", "position")
-    rows = read_chat_csv(spark, paths).join(named.select("path", "display", "position"), "path")
-    times = messages.last_time(rows, chat="display")
-    kept = messages.normalised(in_range(rows, after, before), s.exclude)
+    csv, other = [p for p in paths if p.endswith(".csv")], [p for p in paths if not p.endswith(".csv")]
+    kept, times = [], []
+    if csv:
+        rows = read_chat_csv(spark, csv).join(named.select("path", "display"), "path")
+        times.append(messages.last_time(rows, chat="display"))
+        kept.append(messages.normalised(in_range(rows, after, before), s.exclude))
+    if other:
+        rows = read_chat_lines(spark, other).join(named.select("path", "display"), "path")
+        times.append(named.where(suffix(F.col("display")) != ".csv").select("display", file_time(F.col("display"), strict=False).alias("time")))
+        kept.append(lines_in_range(rows, after, before))
+    kept = reduce(DataFrame.unionByName, [k.select("display", "ord", "user", "message") for k in kept])
+    times = reduce(DataFrame.unionByName, times)
     chats = messages.as_arrays(kept, chat="display")
     chats = named.select("display", F.col("position").alias("ord")).join(times, "display", "left").join(chats, "display", "left")
     none = F.array().cast(chats.schema["messages"].dataType)
     done = extracted(chats.withColumn("messages", F.coalesce("messages", none)), extract)
-    told = done.withColumns({"chat_name": chat_name(F.col("display"), s.prefix), "live_time": F.lit(after).cast("timestamp_ntz")})
+    is_csv = suffix(F.col("display")) == ".csv"
+    name = F.when(is_csv, chat_name(F.col("display"), s.prefix)).otherwise(chat_name(F.col("display")))
+    told = done.withColumns({"chat_name": name, "live_time": F.lit(after).cast("timestamp_ntz")})
     made = orders.explode_items(orders.number_orders(told, day))
     if zip_service is not None:
         made = zipcodes.look_up(made, zip_service, address="search_address")
     return made, done.withColumnRenamed("display", "file")
 
 
-def store_run(made: DataFrame, chats: DataFrame, folder: str, job_id: str, user_id: str, catalog_json: str, as_of: str) -> None:
-    """Append a run's orders and training records to the tables in folder."""
-    append(order_records(made, job_id, as_of), f"{folder}/extracted_orders")
-    append(training_records(chats, job_id, user_id, catalog_json, as_of), f"{folder}/training_data")
+def store_run(made: DataFrame, chats: DataFrame, folder: str, job_id: str, user_id: str, catalog_json: str, as_of: str, title: str = "", live_start_time: str | None = None, model: str = "") -> None:
+    """Append a run to the tables in folder: its job, its orders and its training records."""
+    spark = made.sparkSession
+    job = spark.createDataFrame([(job_id, user_id, title, live_start_time, model, as_of)], JOBS).drop("created_at")
+    history.append(history.new_jobs(job, as_of), f"{folder}/extraction_jobs")
+    history.append(history.order_records(made, job_id, as_of), f"{folder}/extracted_orders")
+    history.append(history.training_records(chats, job_id, user_id, catalog_json, as_of), f"{folder}/training_data")
+
+
+def jobs_of(spark: SparkSession, folder: str, user_id: str, limit: int = 5) -> DataFrame:
+    """A user's newest jobs with their totals and labels, newest first."""
+    jobs = history.recent_jobs(spark.read.parquet(f"{folder}/extraction_jobs"), user_id, limit)
+    total = history.totals(spark.read.parquet(f"{folder}/extracted_orders")).withColumnRenamed("job_id", "id")
+    return history.labelled(jobs.join(total, "id", "left")).orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def job_sheet(spark: SparkSession, folder: str, job_id: str, settings: Settings | None = None) -> DataFrame:
+    """A stored job's orders as an output sheet, with postal codes as five digits, in order of their numbers as text."""
+    rows = history.orders_of(spark.read.parquet(f"{folder}/extracted_orders"), job_id)
+    made = orders.without(rows.withColumn("zip_code", zip_code(F.col("zip_code"))))
+    return orders.sheet(made, (settings or Settings()).columns)
+
+
+def job_catalog(spark: SparkSession, folder: str, job_id: str) -> str | None:
+    """The catalog that a job was run with, as one indented JSON object; None if it has none. Stored catalogs are lists of products with their options."""
+    rows = history.catalog_of(spark.read.parquet(f"{folder}/training_data").where(F.col("job_id") == job_id))
+    listed = rows.select(F.posexplode(F.from_json("catalog_json", STORED_CATALOG)).alias("ord", "entry")).select("ord", f"entry.{PRODUCT}", f"entry.{OPTIONS}")
+    found = catalog.last_of_each(listed, PRODUCT, OPTIONS)
+    return None if found.isEmpty() else catalog.to_json(found)
 
 
 def stock_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -24,9 +24,12 @@ def session(app: str = "tallyloom", **settings: str) -> SparkSession:
 def once(df: DataFrame) -> DataFrame:
     """df, checkpointed: a step that calls a service runs once, whatever reads it and whichever executors are lost.
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset, as in tests, a local one is made.
+    The folder is the one in spark.checkpoint.dir; where that is unset, one is made, if Spark runs on this machine alone.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,39 @@ from pyspark.sql import types as T
 
 from tallyloom.functions.text import na_as_text, na_to_null, parse_time
 
-LINES = "file string, ord bigint, user string, message string, date string, has_date boolean, bad boolean, line string"
+LINES = "file string, ord bigint, user string, message string, date string, has_date boolean, bad boolean, line string, path string"
+CHAT = "path string, file string, ord bigint, date string, user string, message string"
+#: Bytes of a file that hold its header.
+HEAD = 4096
+
+
+def headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """The files of each header line, as it stands; files without one are left out.
+
+    The driver gets one row for each file, which it lists to read them anyway.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    first = F.substring_index(F.decode(F.substring("content", 1, HEAD), "UTF-8"), "\n", 1)
+    first = F.btrim(F.regexp_replace(first, "^\ufeff", ""), F.lit(" \r"))
+    found: dict[str, list[str]] = {}
+    for r in files.select("path", first.alias("first")).where("first <> ''").orderBy("path").collect():
+        found.setdefault(r["first"], []).append(r["path"])
+    return found
 
 
 def read_chat_csv(spark: SparkSession, paths: str | list[str], na_compat: bool = True) -> DataFrame:
     """(path, file, ord, date, user, message) of CSV files with a header, as text; ord orders the rows of a file.
 
-    A file is read by one task, as its cells may hold line feeds. A missing column is empty text. With na_compat, a
-    message cell that is empty or says that it is missing is the text `nan`, and such a user or date is null.
+    Each file is read by its own header, whatever order or choice of columns it has: files of one header together, then
+    joined by name. A file is read by one task, as its cells may hold line feeds. A missing column is empty text, a
+    missing date null. With na_compat, a message cell that is empty or says that it is missing is the text `nan`, and such
+    a user or date is null.
     """
+    read = [_csv_of_one_header(spark, files, na_compat) for files in headers(spark, paths).values()]
+    return reduce(DataFrame.unionByName, read) if read else spark.createDataFrame([], CHAT)
+
+
+def _csv_of_one_header(spark: SparkSession, paths: list[str], na_compat: bool) -> DataFrame:
     rows = spark.read.csv(paths, header=True, multiLine=True, encoding="UTF-8", quote='"', escape='"')
     have = {c.lower(): c for c in rows.columns}
     cell = lambda name: F.col(f"`{have[name]}`") if name in have else F.lit("")
@@ -38,7 +63,7 @@ def read_chat_csv(spark: SparkSession, paths: str | list[str], na_compat: bool =
 def _literals(batches):
     for files in batches:
         out = []
-        for name, raw in zip(files["file"], files["content"], strict=True):
+        for path, name, raw in zip(files["path"], files["file"], files["content"], strict=True):
             for at, line in enumerate(bytes(raw).decode("utf-8").splitlines()):
                 line = line.strip()
                 if not line:
@@ -47,10 +72,10 @@ def _literals(batches):
                     said = ast.literal_eval(line)
                     text = lambda v: None if v is None else str(v)
                     kept = (text(said.get("user")), text(said.get("message")), text(said.get("date")), "date" in said) if isinstance(said, dict) else (None, str(said), None, False)
-                    out.append((name, at, *kept, False, line))
+                    out.append((name, at, *kept, False, line, path))
                 except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
-                    out.append((name, at, None, None, None, False, True, line))
-        yield pd.DataFrame(out, columns=["file", "ord", "user", "message", "date", "has_date", "bad", "line"])
+                    out.append((name, at, None, None, None, False, True, line, path))
+        yield pd.DataFrame(out, columns=["file", "ord", "user", "message", "date", "has_date", "bad", "line", "path"])
 
 
 def read_chat_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -59,7 +84,7 @@ def read_chat_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     bad marks lines that can't be read, a line with a byte order mark among them; a literal other than a dict is kept as
     its message. Files are decoded strictly and split as str.splitlines does, which Spark's text reader doesn't.
     """
-    files = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files = spark.read.format("binaryFile").load(paths).select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     return files.mapInPandas(_literals, LINES)
 
 

@@ -1,4 +1,4 @@
-"""Settings of a run, given as a JSON file or in code; secrets are arguments of the functions that need them."""
+"""Settings of a run, given as a JSON or YAML file or in code; secrets are arguments of the functions that need them."""
 
 from __future__ import annotations
 
@@ -20,5 +20,18 @@ class Settings:
 
     @classmethod
     def load(cls, path: str) -> Settings:
+        """The settings of a JSON file in this class's fields, or of a YAML file in sections: csv, output and output_columns."""
         with open(path, encoding="utf-8") as f:
-            return cls(**json.load(f))
+            if not path.endswith((".yaml", ".yml")):
+                return cls(**json.load(f))
+            try:
+                import yaml
+            except ImportError as e:
+                raise ImportError(f"{path}: reading YAML needs the yaml module; JSON does not") from e
+            return cls.of_sections(yaml.safe_load(f) or {})
+
+    @classmethod
+    def of_sections(cls, told: dict) -> Settings:
+        csv, output = told.get("csv") or {}, told.get("output") or {}
+        given = {"prefix": csv.get("filename_prefix"), "exclude": csv.get("exclude_messages"), "columns": told.get("output_columns"), "sheet": output.get("sheet_name"), "file": output.get("file_name")}
+        return cls(**{k: v for k, v in given.items() if v is not None})

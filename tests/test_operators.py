@@ -153,6 +153,65 @@ def test_chats_to_orders(spark, tmp_path):
     assert [r["우편번호"] for r in back.collect()] == [None, "04524"] or [r["우편번호"] for r in back.collect()] == ["", "04524"]
 
 
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    paths = [
+        put(tmp_path / "a.csv", "DATE,USER,MESSAGE\n2026-03-12 10:00:00,kim,\"x, y\"\n"),
+        put(tmp_path / "b.csv", "USER,MESSAGE,DATE\r\nlee,hello,2026-03-13 10:00:00\r\n", "utf-8"),
+        put(tmp_path / "c.csv", "user,message\npark,\"two\nlines\"\n"),
+        put(tmp_path / "d.csv", "", "utf-8"),
+        put(tmp_path / "e.csv", "OTHER,DATE\n1,2026-03-14 10:00:00\n"),
+    ]
+    rows = {r["file"]: (r["date"], r["user"], r["message"]) for r in lines.read_chat_csv(spark, paths).collect()}
+    assert rows == {"a.csv": ("2026-03-12 10:00:00", "kim", "x, y"), "b.csv": ("2026-03-13 10:00:00", "lee", "hello"), "c.csv": (None, "park", "two\nlines"), "e.csv": ("2026-03-14 10:00:00", "", "")}
+    assert lines.read_chat_csv(spark, paths[3]).collect() == []
+
+
+def test_csv_and_lines_in_one_run(spark, tmp_path):
+    one = put(tmp_path / "shop_kim.csv", "USER,MESSAGE,DATE\nkim,사과  3,2026-03-12 10:00:00\n")
+    two = put(tmp_path / "lee_2026-03-13-08-09-10.jsonl", "{'user': 'lee', 'message': '배  2'}\n{'user': 'lee', 'message': 'late', 'date': '2026-03-20 10:00:00'}\n", "utf-8")
+    find = extract.by_catalog({"사과": [], "배": []})
+    made, chats = plans.extract_orders(spark, [one, two], find, "20260315", Settings(prefix="shop_", exclude=["배"]), before="2026-03-15 00:00:00")
+    got = sorted((r["order_number"], r["chat_name"], r["product"], r["volume"], str(r["time"])) for r in made.collect())
+    assert got == [("20260315001", "kim", "사과", 3, "2026-03-12 10:00:00"), ("20260315002", "lee", "배", 2, "2026-03-13 08:09:10")]
+    # lines stand as they are: white space isn't collapsed, and no message is taken for a system's
+    assert {r["file"]: [m["message"] for m in r["messages"]] for r in chats.collect()} == {"shop_kim.csv": ["사과 3"], "lee_2026-03-13-08-09-10.jsonl": ["배  2"]}
+
+
+def test_stored_jobs_are_listed_and_loaded(spark, tmp_path):
+    folder = str(tmp_path / "db")
+    path = put(tmp_path / "kim.csv", "DATE,USER,MESSAGE\n2026-03-12 10:00:00,kim,사과 3\n2026-03-12 10:01:00,kim,배 1\n")
+    made, chats = plans.extract_orders(spark, [path], extract.by_catalog({"사과": [], "배": ["단일상품"]}), "20260315")
+    stored = '[{"상품명": "사과", "옵션": []}, {"상품명": "배", "옵션": ["단일상품"]}]'
+    for k in range(6):
+        plans.store_run(made, chats, folder, f"j{k}", "me", stored, f"2026-03-15T0{k}:00:00", f"run {k}", "2026-03-12T09:30:00", "m")
+    plans.store_run(made, chats, folder, "other", "you", stored, "2026-03-16T00:00:00")
+    jobs = plans.jobs_of(spark, folder, "me").collect()
+    assert [r["id"] for r in jobs] == ["j5", "j4", "j3", "j2", "j1"]
+    assert (jobs[0]["label"], jobs[0]["total_orders"], jobs[0]["model"]) == ("run 5  |  라이브: 2026-03-12 09:30  |  2건", 2, "m")
+    sheet = plans.job_sheet(spark, folder, "j2")
+    assert sheet.columns == list(OUTPUT_COLUMNS) and sorted(r["상품명"] for r in sheet.collect()) == ["배", "사과"] and {r["우편번호"] for r in sheet.collect()} == {""}
+    assert json.loads(plans.job_catalog(spark, folder, "j2")) == {"사과": [], "배": ["단일상품"]}
+    assert plans.job_catalog(spark, folder, "none") is None
+
+
+def test_prompted_extractor():
+    asked = []
+    ask = extract.prompted(lambda text: asked.append(text) or '{"items": []}', "catalog {catalog} chat {chat}", [{"상품명": "배", "옵션": []}])
+    assert ask([{"user": "a", "message": "배 1"}]) == {"items": []}
+    assert json.loads(asked[0].partition(" chat ")[2]) == [{"user": "a", "message": "배 1"}] and '"상품명": "배"' in asked[0]
+
+
+def test_settings_of_both_kinds(tmp_path):
+    (tmp_path / "s.json").write_text('{"prefix": "P_", "exclude": ["x"]}', encoding="utf-8")
+    assert Settings.load(str(tmp_path / "s.json")) == Settings(prefix="P_", exclude=["x"])
+    told = {"csv": {"filename_prefix": "P_", "exclude_messages": ["x"]}, "output": {"sheet_name": "s", "file_name": "f.xlsx"}, "output_columns": {"a": "product", "b": None}, "model": {"name": "m"}}
+    want = Settings("P_", ["x"], {"a": "product", "b": None}, "s", "f.xlsx")
+    assert Settings.of_sections(told) == want and Settings.of_sections({}) == Settings()
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text(yaml.safe_dump(told, allow_unicode=True), encoding="utf-8")
+    assert Settings.load(str(tmp_path / "s.yaml")) == want
+
+
 def test_bounds_are_included_and_bad_dates_raise(spark):
     rows = spark.createDataFrame([("2026-03-12 10:00:00",), ("2026-03-12 11:00:00",), ("2026-03-12 12:00:00",), (None,)], "date string")
     assert lines.in_range(rows, "2026-03-12 10:00:00", "2026-03-12 11:00:00").count() == 2
