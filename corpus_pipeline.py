@@ -6,13 +6,11 @@ stays; documents that hold a benchmark item go; what remains is encoded. Each st
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, decontaminate, lines, registry, simhash, toxicity
-from tallyloom.llm.common import shared_folder, table
+from tallyloom.llm.common import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,10 +28,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near duplicates; rows that repeat it are one. Documents without an id stay."""
+    """The least document of each group of near duplicates. Of rows that repeat its id, the one with the least hash of its text stays. Documents without an id stay."""
     named = docs.where("doc_id is not null")
     heads = simhash.near_duplicates(named).where("doc_id = component").select("doc_id").distinct()
-    kept = named.join(heads, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    first = named.select("doc_id", own.alias("own")).join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("own").alias("own"))
+    kept = named.withColumn("own", own).join(first, ["doc_id", "own"], "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id is null").select(*COLUMNS))
 
 
@@ -62,10 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over documents; each result but the last is written as Parquet in the shared folder and read again, and emptied when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
+    for _, stage in STAGES[:-1]:
+        scratch = Scratch(spark)
+        docs = scratch.put(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.clear()
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)

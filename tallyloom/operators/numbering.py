@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of an ordinal within a slot: a slot has 65,536 ordinals at most.
-SLOT = 16
+#: Rows of a slot, if ordinals are spread evenly.
+SLOT = 65_536
+
+
+def slot_of(rows: DataFrame, by: str) -> Column:
+    """A row's slot: the range of ordinals in steps of equal width, one step for each SLOT rows. So there are as many slots as
+    rows ask for, whether ordinals are consecutive or hashes."""
+    told = rows.agg(F.min(by).cast("double").alias("lo"), F.max(by).cast("double").alias("hi"), F.count("*").alias("n")).first()
+    width = ((told["hi"] or 0.0) - (told["lo"] or 0.0) + 1) / (1 + told["n"] // SLOT)
+    return F.floor((F.col(by).cast("double") - F.lit(told["lo"] or 0.0)) / F.lit(width))
 
 
 def running_total(rows: DataFrame, by: str, weight: str | int, name: str, within: tuple[str, ...] = ()) -> DataFrame:
@@ -16,7 +24,7 @@ def running_total(rows: DataFrame, by: str, weight: str | int, name: str, within
     within their slot. So neither all rows nor a hot group ends up in one task; one task gets the slots' sums of a group.
     """
     weigh = F.lit(weight) if isinstance(weight, int) else F.col(weight)
-    dealt = rows.withColumn("_slot", F.shiftright(F.col(by).cast("long"), SLOT)).withColumn("_w", weigh.cast("long"))
+    dealt = rows.withColumn("_slot", slot_of(rows, by)).withColumn("_w", weigh.cast("long"))
     sums = dealt.groupBy(*within, "_slot").agg(F.sum("_w").alias("_sum"))
     slots = Window.partitionBy(*within).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*within, "_slot", F.coalesce(F.sum("_sum").over(slots), F.lit(0)).alias("_base"))

@@ -49,8 +49,10 @@ def test_names(spark):
     assert values(spark, text.live_label, ["2026-03-12T10:17:22", None, ""]) == ["2026-03-12 10:17", "-", "-"]
 
 
-def test_numbers_cross_slots(spark):
-    ords = [5, 1, 1 << 20, (1 << 20) + 3, 1 << 40, 70_000]
+@pytest.mark.parametrize("slot", [numbering.SLOT, 1, 2])
+def test_numbers_cross_slots(spark, monkeypatch, slot):
+    monkeypatch.setattr(numbering, "SLOT", slot)
+    ords = [5, 1, 1 << 20, (1 << 20) + 3, 1 << 40, 70_000, -(1 << 62), (1 << 62) + 1, 1 << 62]
     rows = spark.createDataFrame([(o, "ab"[o % 2]) for o in ords], "ord long, g string")
     assert {r["ord"]: r["n"] for r in numbering.numbered(rows, "ord").collect()} == {o: i + 1 for i, o in enumerate(sorted(ords))}
     within = {r["ord"]: r["n"] for r in numbering.numbered(rows, "ord", within=("g",)).collect()}
