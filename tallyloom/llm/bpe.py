@@ -194,7 +194,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     """Ids and decoded text of each document: (key, ids array<int>, decoded string).
 
     docs: any columns besides key and text are ignored. A null text counts as empty: no ids, and empty decoded text.
-    Repeated rows give repeated results; an empty table gives an empty one. vocabulary: path of the file, the same on
+    Repeated rows give repeated results, a null key stays null; an empty table gives an empty one. vocabulary: path of the file, the same on
     every machine. Rows are independent: no shuffle, and memory is bounded by a batch and the remembered words.
     """
     kind = docs.schema[key].dataType.simpleString()

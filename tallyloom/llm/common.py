@@ -17,8 +17,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus. Only Spark's reader touches the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus. Only Spark's reader touches the path.
+
+    A small table may be one row group, which one core would read and work on: one of fewer partitions than there are
+    cores is dealt out to all of them. Larger ones stay as they are read.
+    """
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 class Remembered(dict):

@@ -92,7 +92,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc
     """(key, lang_pred, score) for each row of docs; score is the cosine with the language's prototype, 0 where negative.
 
     Null texts, texts without letters, and any text if there is no prototype get `und` and 0. Ties go to the language
-    that sorts first. Other columns are ignored; rows are independent, without a shuffle.
+    that sorts first. A null key stays null. Other columns are ignored; rows are independent, without a shuffle.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = sorted(prototypes)

@@ -91,8 +91,8 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     """Each text as a WAV file and its fingerprint: (key, n_bytes, payload, media, codes array<struct<t, hash>>).
 
     The payload is the text in UTF-8, filled up with spaces to a positive multiple of block; it is what the stored file
-    gives back, not what went in. A null text counts as empty: one block of spaces. Equal texts give equal values;
-    other columns are ignored; rows are independent, without a shuffle.
+    gives back, not what went in. A null text counts as empty: one block of spaces. Equal texts give equal values, a null key
+    stays null; other columns are ignored; rows are independent, without a shuffle.
     """
     kind = docs.schema[key].dataType.simpleString()
 

@@ -124,7 +124,7 @@ def scan(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text:
 
     Spans have start, rank, end (exclusive) and kind, sorted by start and rank, in code points of the whole text. A null
     text counts as empty, without spans. A token that overlaps a base span isn't added. Without a model, or one that met
-    no secret or no word, nothing is added. Rows are independent, repeated or not; other columns are ignored.
+    no secret or no word, nothing is added. A null key stays null. Rows are independent, repeated or not; other columns are ignored.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias(key), t.alias("_t"))

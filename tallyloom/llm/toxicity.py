@@ -259,7 +259,7 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
     """(key, score, predicted, hits array<struct<start, end, weight>>) for each row; predicted is 1 from a score of 0.7.
 
     Spans are of the lower-cased text. Null and empty texts have no evidence and the least score. Repeated rows get
-    equal scores; rows are independent, without a shuffle. Other columns are ignored, or with keep come first, all but
+    equal scores and a null key stays null; rows are independent, without a shuffle. Other columns are ignored, or with keep come first, all but
     those with the names of the results.
     """
     made = ("score", "predicted", "hits")

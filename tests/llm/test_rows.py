@@ -222,6 +222,50 @@ def test_media_query(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
 
 
+def test_vectors_same_as_plain_bundles():
+    """Every trigram of letters and gaps, bound letter by letter, is added by itself."""
+    rng = random.Random(17)
+    for text in ["", "12 ..", "Aé b-c 7 dd", "".join(rng.choices("abcdeé ,9", k=400)), "x" * 30]:
+        line = "".join(c if c.isalpha() else " " for c in text.lower())
+        points = [0, *[ord(c) for c in " ".join(line.split()).replace(" ", "\0")], 0] if line.split() else []
+        total = [0] * langid.WIDTH
+        for a, b, c in zip(points, points[1:], points[2:]):  # noqa: B905
+            x, y, z = (langid.letter(p).tolist() for p in (a, b, c))
+            for k in range(langid.WIDTH):
+                total[k] += x[(k - 2) % langid.WIDTH] * y[(k - 1) % langid.WIDTH] * z[k]
+        made = langid.vector(text)
+        assert made is None if not points else made.tolist() == total
+
+
+def test_landmarks_same_as_plain_transform(monkeypatch):
+    """Peaks of each span by a transform written out, whatever number of frames is transformed at once."""
+    import cmath
+    import math
+
+    import numpy as np
+
+    rng = random.Random(18)
+    for n in (100, 192, 192 * 9, 192 * 30):
+        samples = np.array([rng.randrange(256) for _ in range(n)], dtype=np.uint8)
+        x = [float(v) - 128 for v in samples] + [0.0] * max(0, media.FRAME - n)
+        frames = (len(x) - media.FRAME) // media.HOP + 1
+        shape = [0.5 - 0.5 * math.cos(2 * math.pi * k / (media.FRAME - 1)) for k in range(media.FRAME)]
+        turn = [cmath.exp(-2j * math.pi * k / media.FRAME) for k in range(media.FRAME)]
+        size = [[abs(sum(x[f * media.HOP + k] * shape[k] * turn[k * b % media.FRAME] for k in range(media.FRAME))) for b in range(1, media.FRAME // 2 + 1)] for f in range(frames)]
+        want = set()
+        for first in range(0, frames, media.SPAN):
+            ranked = sorted((-size[f][b], f, b + 1) for f in range(first, min(first + media.SPAN, frames)) for b in range(len(size[f])))
+            want |= {(f, b) for _, f, b in ranked[: media.PEAKS]}
+        for at_once in (media.SPAN, 4096):
+            monkeypatch.setattr(media, "AT_ONCE", at_once)
+            at, which = media.peaks(samples)
+            assert set(zip(at.tolist(), which.tolist(), strict=True)) == want
+        times, hashes = media.landmarks(samples)
+        order = sorted(want)
+        pairs = sorted((a[0], a[1] << 16 | b[1] << 8 | min(b[0] - a[0], 63)) for k in range(1, media.FAN + 1) for a, b in zip(order, order[k:]))  # noqa: B905
+        assert list(zip(times.tolist(), hashes.tolist(), strict=True)) == pairs
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 

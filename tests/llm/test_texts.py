@@ -42,6 +42,40 @@ def test_base_spans_same_as_plain_patterns(spark):
     assert secrets.scan(frame.limit(0)).collect() == []
 
 
+def test_very_many_spans_same_as_plain_patterns(spark):
+    """More matches than are walked together, of all kinds, and tokens between them."""
+    rng = random.Random(14)
+    piece = lambda: rng.choice(["deadbeef" * 4, "AKIA" + "B2" * 8, "token=abcdefgh1", "secret: x", "x9" * 12, "é "])
+    texts = [" ".join(piece() for _ in range(n)) for n in (255, 256, 257, 513, 3000)] + [" ".join(["deadbeef" * 4] * 12_000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["base"] for r in secrets.scan(frame).select("doc_id", secrets.listed(F.col("base")).alias("base")).collect()}
+    assert got == {i: ",".join(plain_spans(t)) for i, t in enumerate(texts)}
+
+
+def test_added_spans_same_as_plain_means(spark):
+    """Every long token is judged by the mean of its steps' log-likelihood ratios, added up one by one."""
+    rng = random.Random(15)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["configuration", "get_user_name", "connection_pool", "maximum_retries", "description", "parameters"]
+    key = lambda n: "".join(rng.choices(alphabet, k=n))
+    model = secrets.train(spark.createDataFrame([(i, f"token={key(32)} {' '.join(rng.sample(words, 4))}") for i in range(200)], "doc_id int, text string"))
+    token = lambda: rng.choice([key(24) + "7a", "_".join(rng.sample(words, 3)) + "_2a", key(10) + "_" + rng.choice(words) + "1", "password=" + key(22), "only_letters_in_this_long_one", key(8)])
+    texts = [" ".join(token() for _ in range(rng.choice([3, 40, 600]))) for _ in range(30)]
+
+    def mean(t):
+        at = [ord(c) - secrets.FIRST for c in t]
+        return sum(model.ratio[a * secrets.WIDE + b] for a, b in zip(at, at[1:])) / (len(t) - 1)  # noqa: B905
+
+    want = {}
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in plain_spans(t)]
+        found = [m for m in re.finditer(secrets.TOKEN, t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in base)]
+        assert all(abs(mean(m[0]) - secrets.RATIO) > 1e-9 for m in found)
+        want[i] = [(m.start(), m.end()) for m in found if mean(m[0]) >= secrets.RATIO]
+    made = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()
+    assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in made} == want and sum(map(len, want.values())) > 100
+
+
 def test_secret_query(spark):
     made = registry.op7_secret_scan(spark, SF)
     texts = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
