@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -83,10 +84,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: With it, shuffle files go as soon as the step that wrote them ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, steps remove their shuffle files at their end: for steps whose result is written and read from there on."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed to the shared folder, so that lost executors cost no more than reading it; gone with the last reference to it."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 class Scratch:
@@ -98,7 +115,8 @@ class Scratch:
     def put(self, df: DataFrame) -> DataFrame:
         """df as it is read from its table."""
         self.paths.append(f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}")
-        df.write.parquet(self.paths[-1])
+        with tidy(self.spark):
+            df.write.parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def clear(self) -> None:
