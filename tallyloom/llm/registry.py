@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, lines, media, passages, secrets, simhash, toxicity
+from . import bpe, decontaminate, divergence, filters, html, langid, lines, media, passages, secrets, simhash, tokenfiles, toxicity
 from .common import crc_mod, table
 
 
@@ -107,5 +107,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash_near_dedup, op3_substring_dedup, op4_language_id, op5_decontaminate, op6_line_dedup, op7_secret_scan, op8_html_extraction, op9_media_columns, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to files and read back: where they start, how many there are, and their checksum."""
+    files, folder = tokenfiles.encoded(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return tokenfiles.summaries(files, folder)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's distances to the others of its language, and the terms it uses more."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of each order of five filters keeps and removes, by language."""
+    return filters.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_encode_decode, op2_simhash_near_dedup, op3_substring_dedup, op4_language_id, op5_decontaminate, op6_line_dedup, op7_secret_scan, op8_html_extraction, op9_media_columns, op10_toxicity,
+        op11_token_files, op12_source_divergence, op13_filter_interaction,
+    )
+}
+ORACLES: dict[str, str] = {"op12_source_divergence": divergence.SQL, "op13_filter_interaction": filters.SQL}
