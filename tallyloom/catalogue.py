@@ -6,13 +6,18 @@ conversation is a chat, a brand is a product and a part's type its option, a cus
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import catalog, extract, files, history, messages, numbering, orders, zipcodes
+from tallyloom.operators import catalog, extract, files, history, matching, messages, numbering, orders, zipcodes
+from tallyloom.operators.calls import Ledger, Policy
+from tallyloom.session import shared_folder
 from tallyloom.sources.chats import in_range, lines_in_range
 from tallyloom.sources.schemas import OUTPUT_COLUMNS
+from tallyloom.sources.store import Store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -341,6 +346,43 @@ def result_json(spark, sf_dir):
     return made.select("l_orderkey", "l_linenumber", "item.product", "item.option", "item.volume", "order_name", "address")
 
 
+_SAID = "p_name || 's, no ' || p_brand || ' but ' || l_linenumber::VARCHAR || ' ' || p_name || ' and ' || (l_quantity::BIGINT)::VARCHAR || 'x ' || p_brand || p_type || ', small' || p_name || ' ' || p_brand"
+_SAID_NAMES = "(SELECT p_name AS name FROM part UNION SELECT split_part(p_name, ' ', 2) FROM part UNION SELECT p_brand FROM part)"
+
+
+def _said(spark, sf_dir) -> DataFrame:
+    """A message for each order line: names of its part by themselves, and within longer words."""
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    parts = ["p_name", F.lit("s, no "), "p_brand", F.lit(" but "), F.col("l_linenumber").cast("string"), F.lit(" "), "p_name", F.lit(" and "), F.col("l_quantity").cast("long").cast("string"), F.lit("x "), "p_brand", "p_type", F.lit(", small"), "p_name", F.lit(" "), "p_brand"]
+    return rows.select("l_orderkey", "l_linenumber", F.concat(*parts).alias("message"))
+
+
+@query(
+    f"WITH p AS (SELECT '\\b(?:' || string_agg(name, '|' ORDER BY length(name) DESC, name) || ')\\b' AS p FROM {_SAID_NAMES}), "
+    f"t AS (SELECT l_orderkey, l_linenumber, regexp_extract_all({_SAID}, (SELECT p FROM p)) AS f FROM lineitem JOIN part ON l_partkey = p_partkey) "
+    "SELECT l_orderkey, l_linenumber, unnest(range(1, len(f) + 1))::INT AS n, unnest(f) AS found FROM t"
+)
+def catalog_matches(spark, sf_dir):
+    """Names of parts, brands and kinds, found in messages: the longest at each place, and none within a word."""
+    part = read(spark, sf_dir, "part", "p_name", "p_brand")
+    names = part.select(F.explode(F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(2)), "p_brand")).alias("name"))
+    return matching.matches(_said(spark, sf_dir), names).select("l_orderkey", "l_linenumber", "n", "found")
+
+
+@query(
+    "WITH t AS (SELECT l_orderkey, l_linenumber, p_name, p_brand, l_quantity::BIGINT AS q, (SELECT count(DISTINCT p_brand) FROM part x WHERE x.p_name = part.p_name) AS k FROM lineitem JOIN part ON l_partkey = p_partkey) "
+    "SELECT l_orderkey, l_linenumber, 1 AS n, p_name AS product, p_brand AS option, q AS volume FROM t "
+    "UNION ALL SELECT l_orderkey, l_linenumber, 2, p_name, CASE WHEN k = 1 THEN p_brand END, 1 FROM t"
+)
+def extract_by_catalog(spark, sf_dir):
+    """Items said in messages, by a catalog of part names with their brands as options; the second one is said without brand or number."""
+    part = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    listed = catalog.build(part.select("p_name", "p_brand", F.col("p_partkey").alias("ord")), "p_name", "p_brand").select("product", "options")
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    said = F.concat(F.lit("please, "), "p_name", F.lit(": "), "p_brand", F.lit(" x "), F.col("l_quantity").cast("long").cast("string"), F.lit(". And a "), "p_name", F.lit(", thanks"))
+    return matching.catalog_items(rows.select("l_orderkey", "l_linenumber", said.alias("message")), listed).drop("message")
+
+
 # --- uploads --------------------------------------------------------------------------------------------------------
 
 
@@ -353,6 +395,25 @@ def upload_dedupe(spark, sf_dir):
     return files.deduplicate_uploads(docs)
 
 
+# --- services -------------------------------------------------------------------------------------------------------
+
+
+def answer(name: str) -> str | None:
+    """A service that knows no rings and fails for bolts."""
+    if "bolt" in name:
+        raise ValueError("busy")
+    return None if "ring" in name else name.upper()
+
+
+@query("SELECT DISTINCT p_name AS request, CASE WHEN NOT contains(p_name, 'bolt') AND NOT contains(p_name, 'ring') THEN upper(p_name) END AS answer, CASE WHEN contains(p_name, 'bolt') THEN 'ValueError: busy' END AS error FROM part")
+def service_answers(spark, sf_dir):
+    """Answers of a service for names of parts, by a ledger that knows some from an earlier run."""
+    ledger = Ledger(answer, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", policy=Policy(wait=0.0, attempts=2, parts=4))
+    names = read(spark, sf_dir, "part", F.col("p_name").alias("request"))
+    ledger.answers(names.where("request < 'h'"))
+    return ledger.answers(names)
+
+
 # --- postal codes ---------------------------------------------------------------------------------------------------
 
 _ADDR = "CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN ' ' || n_name || ' ' ELSE n_name END"
@@ -432,6 +493,32 @@ def job_labels(spark, sf_dir):
     return history.labelled(jobs.join(totals, jobs["id"] == totals["job_id"], "left")).select("id", "live", "label")
 
 
+@query("SELECT o_orderkey AS id, count(*) AS total_orders FROM (SELECT * FROM orders WHERE o_custkey = 71 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5) JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def recent_jobs_totals(spark, sf_dir):
+    """The newest jobs of a user first, then the totals of these only."""
+    recent = history.recent_jobs(_jobs(spark, sf_dir), 71).select("id")
+    return history.totals_of(recent, read(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("job_id"))).withColumnRenamed("job_id", "id")
+
+
+_STORED = "SELECT o_orderpriority AS job_id, o_orderkey, CAST(l_partkey AS VARCHAR) AS product, CAST(l_quantity AS BIGINT) AS volume FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"
+
+
+@query(f"SELECT job_id, count(*) AS total_orders, sum(volume)::BIGINT AS volume, count(DISTINCT product) AS products FROM ({_STORED}) GROUP BY job_id")
+def stored_jobs(spark, sf_dir):
+    """Orders of two priorities stored as two jobs, one of them twice, beside a run that wasn't committed: totals as committed, orders as read."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", F.col("l_partkey").cast("string").alias("product"), F.col("l_quantity").cast("long").alias("volume"))
+    heads = read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
+    for job_id in ("1-URGENT", "2-HIGH", "1-URGENT"):
+        own = lines.join(heads.where(F.col("o_orderpriority") == job_id), F.col("l_orderkey") == F.col("o_orderkey"))
+        tables = {"extracted_orders": history.order_records(own.withColumn("order_number", F.col("o_orderkey").cast("string")), job_id, "2026-01-01")}
+        store.put({"id": job_id, "user_id": "me", "created_at": "2026-01-01"}, tables)
+    store.stage("2-HIGH", tables)
+    rows = store.committed("extracted_orders").groupBy("job_id").agg(F.sum("volume").alias("volume"), F.count_distinct("product").alias("products"))
+    jobs = store.jobs("me").select(F.col("id").alias("job_id"), "total_orders")
+    return jobs.join(rows, "job_id").select("job_id", "total_orders", "volume", "products")
+
+
 @query("SELECT l_orderkey AS job_id, count(*) AS total_orders FROM lineitem GROUP BY 1")
 def job_totals(spark, sf_dir):
     return history.totals(read(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("job_id")))

@@ -9,16 +9,6 @@ from tallyloom.functions.text import job_label, live_label
 from tallyloom.sources.schemas import ORDERS
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Add rows to a stored table."""
-    rows.write.mode("append").parquet(path)
-
-
-def new_jobs(jobs: DataFrame, as_of: str) -> DataFrame:
-    """jobs as they are stored, created at as_of; their totals are derived from their orders, not updated."""
-    return jobs.withColumn("created_at", F.lit(as_of))
-
-
 def order_records(orders: DataFrame, job_id: str, as_of: str) -> DataFrame:
     """orders in the stored columns; fields that they lack are null."""
     fixed = {"job_id": F.lit(job_id), "created_at": F.lit(as_of)}
@@ -60,6 +50,16 @@ def totals(orders: DataFrame) -> DataFrame:
     return orders.groupBy("job_id").agg(F.count("*").alias("total_orders"))
 
 
+def totals_of(jobs: DataFrame, orders: DataFrame) -> DataFrame:
+    """(job_id, total_orders) of a few jobs (id): only their orders are counted.
+
+    The jobs are sent to the orders' scan, which they filter while it runs, so that no other order is shuffled. They must be
+    few, as after recent_jobs().
+    """
+    few = F.broadcast(jobs.select(F.col("id").alias("job_id")))
+    return totals(orders.join(few, "job_id", "left_semi"))
+
+
 def active_account(accounts: DataFrame, user_id, **equal) -> DataFrame:
     """(user_id) of the account of this id, with these values in other columns, if it is active."""
     rows = accounts.where(F.col("user_id") == user_id)

@@ -13,9 +13,10 @@ from tallyloom.operators import catalog, history, messages, orders, zipcodes
 from tallyloom.operators.extract import extracted
 from tallyloom.operators.files import deduplicate_uploads
 from tallyloom.sources.chats import in_range, lines_in_range, read_chat_csv, read_chat_lines, write_chat_lines
-from tallyloom.sources.schemas import ADDRESS, JOBS, OPTIONS, PRODUCT, STORED_CATALOG, ZIP
+from tallyloom.sources.schemas import ADDRESS, OPTIONS, PRODUCT, STORED_CATALOG, ZIP
 from tallyloom.sources.settings import Settings
 from tallyloom.sources.stock import read_stock
+from tallyloom.sources.store import Store
 
 
 def extract_orders(
@@ -71,31 +72,30 @@ def extract_orders(
 
 
 def store_run(made: DataFrame, chats: DataFrame, folder: str, job_id: str, user_id: str, catalog_json: str, as_of: str, title: str = "", live_start_time: str | None = None, model: str = "") -> None:
-    """Append a run to the tables in folder: its job, its orders and its training records."""
-    spark = made.sparkSession
-    job = spark.createDataFrame([(job_id, user_id, title, live_start_time, model, as_of)], JOBS).drop("created_at")
-    history.append(history.new_jobs(job, as_of), f"{folder}/extraction_jobs")
-    history.append(history.order_records(made, job_id, as_of), f"{folder}/extracted_orders")
-    history.append(history.training_records(chats, job_id, user_id, catalog_json, as_of), f"{folder}/training_data")
+    """Store a run: its job, its orders and its training records, all of them or none. A job that is stored again is replaced."""
+    job = {"id": job_id, "user_id": user_id, "title": title, "live_start_time": live_start_time, "model": model, "created_at": as_of}
+    tables = {"extracted_orders": history.order_records(made, job_id, as_of), "training_data": history.training_records(chats, job_id, user_id, catalog_json, as_of)}
+    Store(made.sparkSession, folder).put(job, tables)
 
 
 def jobs_of(spark: SparkSession, folder: str, user_id: str, limit: int = 5) -> DataFrame:
-    """A user's newest jobs with their totals and labels, newest first."""
-    jobs = history.recent_jobs(spark.read.parquet(f"{folder}/extraction_jobs"), user_id, limit)
-    total = history.totals(spark.read.parquet(f"{folder}/extracted_orders")).withColumnRenamed("job_id", "id")
-    return history.labelled(jobs.join(total, "id", "left")).orderBy(F.desc("created_at"), F.desc("id"))
+    """A user's newest jobs with their totals and labels, newest first. Totals were counted when the jobs were stored; no orders are read."""
+    jobs = history.recent_jobs(Store(spark, folder).jobs(user_id), user_id, limit)
+    return history.labelled(jobs.drop("run", "committed")).orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def job_sheet(spark: SparkSession, folder: str, job_id: str, settings: Settings | None = None) -> DataFrame:
     """A stored job's orders as an output sheet, with postal codes as five digits, in order of their numbers as text."""
-    rows = history.orders_of(spark.read.parquet(f"{folder}/extracted_orders"), job_id)
+    store = Store(spark, folder)
+    rows = history.orders_of(store.rows("extracted_orders", store.job(job_id)), job_id)
     made = orders.without(rows.withColumn("zip_code", zip_code(F.col("zip_code"))))
     return orders.sheet(made, (settings or Settings()).columns)
 
 
 def job_catalog(spark: SparkSession, folder: str, job_id: str) -> str | None:
     """The catalog that a job was run with, as one indented JSON object; None if it has none. Stored catalogs are lists of products with their options."""
-    rows = history.catalog_of(spark.read.parquet(f"{folder}/training_data").where(F.col("job_id") == job_id))
+    store = Store(spark, folder)
+    rows = history.catalog_of(store.rows("training_data", store.job(job_id)))
     listed = rows.select(F.posexplode(F.from_json("catalog_json", STORED_CATALOG)).alias("ord", "entry")).select("ord", f"entry.{PRODUCT}", f"entry.{OPTIONS}")
     found = catalog.last_of_each(listed, PRODUCT, OPTIONS)
     return None if found.isEmpty() else catalog.to_json(found)

@@ -21,15 +21,18 @@ def session(app: str = "tallyloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def once(df: DataFrame) -> DataFrame:
-    """df, checkpointed: a step that calls a service runs once, whatever reads it and whichever executors are lost.
-
-    The folder is the one in spark.checkpoint.dir; where that is unset, one is made, if Spark runs on this machine alone.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, one is made, if Spark runs on this machine alone."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df, checkpointed: a step that calls a service runs once, whatever reads it and whichever executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -13,7 +13,6 @@ STORED_CATALOG = f"array<struct<`{PRODUCT}`:string,`{OPTIONS}`:array<string>>>"
 #: The output sheet, name -> field; a field of None leaves the column blank.
 OUTPUT_COLUMNS = {"주문번호": "order_number", "상품명": "product", "옵션명": "option", "수량": "volume", "채팅명": "chat_name", "수령자": "order_name", "전화번호": "phone_number", "주소": "address", "우편번호": "zip_code"}
 
-JOBS = "id string, user_id string, title string, live_start_time string, model string, created_at string"
 #: Stored order fields and their types.
 ORDERS = {
     "job_id": "string", "order_number": "string", "product": "string", "option": "string", "volume": "bigint", "chat_name": "string", "order_name": "string",
