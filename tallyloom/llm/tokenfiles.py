@@ -43,7 +43,7 @@ LEVEL = 3
 #: Bytes of frames after which a file is closed.
 SHARD = 256 << 20
 #: Encoded pieces that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Appended to each document.
 END = 0
 FILES = "file string, part int, seq int, docs long, tokens long, first long, last long"
@@ -63,7 +63,7 @@ SIGNS = re.compile(r"([!-&(-/:-@\[-`{-~]+)\x02")
 HIDDEN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 VISIBLE = {b: c for b, c in HIDDEN.items() if b not in (0, 1, 2, 32)}
 #: Bytes of texts that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 3 << 20
 
 
 class Encoder:
@@ -142,11 +142,13 @@ class Encoder:
         self.words.trim()
         self.words.update((w, b) for w, b in learned.items() if len(w) <= LONGEST)
         # each word's ids, one after another, gathered in the order of the texts
-        ids, sizes = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at, order = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        ids, sizes = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int32, len(found)) // 4
+        at, order = (np.cumsum(sizes) - sizes).astype(np.int32), coded.indices.to_numpy()
         n = sizes[order]
         ends = np.concatenate([[0], np.cumsum(n)])
-        gathered = ids[np.repeat(at[order] - ends[:-1], n) + np.arange(ends[-1])]
+        place = np.repeat(at[order] - ends[:-1].astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        gathered = ids[place]
         bounds = ends[cut.offsets.to_numpy()].tolist()
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             yield gathered[a:b].tobytes()
