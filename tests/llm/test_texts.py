@@ -300,3 +300,27 @@ def test_templates_same_as_brute_force(spark):
 def test_placeholders(text, slots):
     tokens, at, _, slot = decontaminate.template(text)
     assert [tokens[a] for a, s in zip(at, slot, strict=True) if s] == slots
+
+
+def test_html_of_any_depth_and_any_breaks_in_linear_time():
+    import time
+
+    def seconds(page, f=html.main_text):
+        start = time.process_time()
+        f(page)
+        return time.process_time() - start
+
+    assert seconds("<p" * 50_000) < 1 and seconds("<p" + "x" * 8000) < 1
+    for page in ("<article>" + "<a name=x>t " * 100_000, "<div>" * 100_000 + "x", '<a b=">' * 50_000, "<p>" + "<a>" * 50_000 + "<img>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<article>" * 50_000 + "x"):
+        assert seconds(page) < 15
+    assert html.main_text("<article>" + "<a name=x>t " * 1200 + "</article>").split() == ["t"] * 1200
+    assert html.main_text("<div>" * 20_000 + "deep") == "deep"
+    # pages that differ far down, in block and in inline elements, can be aligned
+    assert html.induce(["<html><body><article><p>" + "<a name=x>" * 1200 + f"x{i}" for i in range(5)])[0] == "/html/body/article"
+    assert seconds(["<html><body>" + "<div>" * 3000 + f"x{i}" for i in range(4)], html.induce) < 15
+
+
+def test_labels_count_as_whole_names_of_blocks():
+    page = "<article><p>a<span class='hljs-comment'>b</span> <button>x</button> d</p><p class='ad-hoc'>e</p><section class='comments-on-the-law'><p>f</p></section><div class='comment-list'>no</div><div class=ad>no</div><div id='post-comments'>no</div></article>"
+    assert html.main_text(page) == "ab d\n\ne\n\nf"
+    assert html.main_text(page, "/article") == "ab d\n\ne\n\nf"
