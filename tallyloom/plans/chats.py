@@ -12,7 +12,7 @@ from tallyloom.functions.text import chat_name, date_slug, file_time, nickname,
 from tallyloom.operators import catalog, history, messages, orders, zipcodes
 from tallyloom.operators.extract import extracted
 from tallyloom.operators.files import deduplicate_uploads
-from tallyloom.sources.chats import in_range, lines_in_range, read_chat_csv, read_chat_lines, write_chat_lines
+from tallyloom.sources.chats import in_range, lines_in_range, literal_path, read_chat_csv, read_chat_lines, write_chat_lines
 from tallyloom.sources.schemas import ADDRESS, OPTIONS, PRODUCT, STORED_CATALOG, ZIP
 from tallyloom.sources.settings import Settings
 from tallyloom.sources.stock import read_stock
@@ -38,22 +38,18 @@ def extract_orders(
     names. Postal codes are looked up for search addresses where there is a service.
     """
     s = settings or Settings()
-    listed = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "asked string, ord long")
-    files = spark.read.format("binaryFile").load(paths)
-    uri = F.col("path")
-    # a manifest row for each file; names and hashes only, contents stay where they are read
-    tail = lambda c: F.regexp_replace(c, r"^(file:)?/*", "")
-    files = files.select(uri, F.element_at(F.split(uri, "/"), -1).alias("name"), F.sha2("content", 256).alias("content"))
-    files = files.join(listed, tail(uri) == tail(F.col("asked"))).select("path", "name", "content", "ord")
+    files = manifest(spark, paths)
     named = deduplicate_uploads(files).join(files.select("path", "ord"), "ord").select("path", "display", "position")
-    csv, other = [p for p in paths if p.endswith(".csv")], [p for p in paths if not p.endswith(".csv")]
+    known = files.select("path", F.lit(True).alias("_listed")).join(named.select("path", "display"), "path", "left")
+    literal = [literal_path(p) for p in paths]
+    csv, other = [p for p in literal if p.endswith(".csv")], [p for p in literal if not p.endswith(".csv")]
     kept, times = [], []
     if csv:
-        rows = read_chat_csv(spark, csv).join(named.select("path", "display"), "path")
+        rows = _of_files(read_chat_csv(spark, csv), known)
         times.append(messages.last_time(rows, chat="display"))
         kept.append(messages.normalised(in_range(rows, after, before), s.exclude))
     if other:
-        rows = read_chat_lines(spark, other).join(named.select("path", "display"), "path")
+        rows = _of_files(read_chat_lines(spark, other), known)
         times.append(named.where(suffix(F.col("display")) != ".csv").select("display", file_time(F.col("display"), strict=False).alias("time")))
         kept.append(lines_in_range(rows, after, before))
     kept = reduce(DataFrame.unionByName, [k.select("display", "ord", "user", "message") for k in kept])
@@ -71,6 +67,27 @@ def extract_orders(
     return made, done.withColumnRenamed("display", "file")
 
 
+def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, name, content, ord) of the files in paths, a row each: content is their SHA-256; the files themselves stay where they are.
+
+    Paths are names of files, not patterns. One that isn't found raises.
+    """
+    listed = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "asked string, ord long")
+    files = spark.read.format("binaryFile").load([literal_path(p) for p in paths])
+    tail = lambda c: F.regexp_replace(c, r"^(file:)?/*", "")
+    lost = listed.join(files.select("path"), tail(F.col("path")) == tail(F.col("asked")), "left_anti").select("asked").take(3)
+    if lost:
+        raise FileNotFoundError(f"not found as they are named: {', '.join(r['asked'] for r in lost)}")
+    found = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("content"))
+    return found.join(listed, tail(F.col("path")) == tail(F.col("asked"))).select("path", "name", "content", "ord")
+
+
+def _of_files(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with display, the name of their file. Rows of a repeated file go; rows of a file that isn't listed raise."""
+    unknown = F.raise_error(F.concat(F.lit("read, but not listed: "), "path")).cast("boolean")
+    return rows.join(known, "path", "left").where(F.when(F.col("_listed").isNull(), unknown).otherwise(F.col("display").isNotNull())).drop("_listed")
+
+
 def store_run(made: DataFrame, chats: DataFrame, folder: str, job_id: str, user_id: str, catalog_json: str, as_of: str, title: str = "", live_start_time: str | None = None, model: str = "") -> None:
     """Store a run: its job, its orders and its training records, all of them or none. A job that is stored again is replaced."""
     job = {"id": job_id, "user_id": user_id, "title": title, "live_start_time": live_start_time, "model": model, "created_at": as_of}

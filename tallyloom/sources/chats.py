@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ast
+import csv
+import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +20,16 @@ CHAT = "path string, file string, ord bigint, date string, user string, message
 HEAD = 4096
 
 
+def literal_path(path: str) -> str:
+    """A path that stands for one file, whatever signs its name has: readers take brackets, braces and stars for patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def decoded(uri: Column) -> Column:
+    """A path as it is listed, out of the address that file metadata has, in which some signs are percent-encoded."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
     """The files of each header line, as it stands; files without one are left out.
 
@@ -40,18 +52,20 @@ def read_chat_csv(spark: SparkSession, paths: str | list[str], na_compat: bool =
     missing date null. With na_compat, a message cell that is empty or says that it is missing is the text `nan`, and such
     a user or date is null.
     """
-    read = [_csv_of_one_header(spark, files, na_compat) for files in headers(spark, paths).values()]
+    read = [_csv_of_one_header(spark, [literal_path(f) for f in files], first, na_compat) for first, files in headers(spark, paths).items()]
     return reduce(DataFrame.unionByName, read) if read else spark.createDataFrame([], CHAT)
 
 
-def _csv_of_one_header(spark: SparkSession, paths: list[str], na_compat: bool) -> DataFrame:
-    rows = spark.read.csv(paths, header=True, multiLine=True, encoding="UTF-8", quote='"', escape='"')
-    have = {c.lower(): c for c in rows.columns}
+def _csv_of_one_header(spark: SparkSession, paths: list[str], first: str, na_compat: bool) -> DataFrame:
+    # the header is known, so that no file is read for its columns
+    have = {name.lower(): f"c{i}" for i, name in enumerate(names := next(csv.reader([first])))}
+    shape = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    rows = spark.read.schema(shape).csv(paths, header=True, enforceSchema=True, multiLine=True, encoding="UTF-8", quote='"', escape='"')
     cell = lambda name: F.col(f"`{have[name]}`") if name in have else F.lit("")
     clean, message = (na_to_null, na_as_text) if na_compat else (lambda c: c, lambda c: c)
     told = [
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file"),
+        decoded(F.col("_metadata.file_path")).alias("path"),
+        F.element_at(F.split(decoded(F.col("_metadata.file_path")), "/"), -1).alias("file"),
         F.monotonically_increasing_id().alias("ord"),
         (clean(cell("date")) if "date" in have else F.lit(None).cast("string")).alias("date"),
         (clean(cell("user")) if "user" in have else cell("user")).alias("user"),
