@@ -42,8 +42,8 @@ SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 LEVEL = 3
 #: Bytes of frames after which a file is closed.
 SHARD = 256 << 20
-#: Encoded pieces that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+#: Encoded words and pieces that a worker remembers, the longest of the pieces, and bytes of all words.
+REMEMBERED, LONGEST, MOST_WORDS = 400_000, 64, 64 << 20
 #: Appended to each document.
 END = 0
 FILES = "file string, part int, seq int, docs long, tokens long, first long, last long"
@@ -61,7 +61,7 @@ PLAIN = re.compile(r"[\x00\x01]?[A-Za-zÀ-ÖØ-öø-ɏ]+[!-&(-/:-@\[-`{-~]*")
 SIGNS = re.compile(r"([!-&(-/:-@\[-`{-~]+)\x02")
 #: Fixed by byte-level vocabularies: what stands for bytes that are no visible Latin-1 character, in order.
 HIDDEN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
-VISIBLE = {b: c for b, c in HIDDEN.items() if b not in (0, 1, 2, 32)}
+SHOWN = np.array([b if b in (0, 1, 2, 32) else ord(HIDDEN.get(b, chr(b))) for b in range(256)], dtype="<u4")
 #: Bytes of texts that are encoded together.
 TOGETHER = 3 << 20
 
@@ -86,7 +86,9 @@ class Encoder:
         self.by_piece.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.mark = self.library.token_to_id("\xff")
-        self.words, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.pieces = Remembered(REMEMBERED)
+        # what is known of words: how many ids each has, and all of their ids
+        self.words, self.sizes, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, "<u4")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -104,18 +106,24 @@ class Encoder:
         lead = word[:1]
         return self._piece("\n") + self._piece(word[1:]) if lead == "\x00" else self._piece(word[1:] if lead == "\x01" else " " + word)
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words with a space before them, or what their first sign stands for."""
-        plain = list(filter(PLAIN.fullmatch, words))
-        made = {w: self._word(w) for w in set(words).difference(plain)}
-        if plain:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of words with a space before them, or what their first sign stands for: how many ids each has, and all ids in order."""
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        if not plain:
+            made = [self._word(w) for w in words]
+        else:
             # a two begins a word, a space parts pieces, and a three becomes the sign of no byte
-            told = SIGNS.sub(" \\1\x02", "\x02".join(plain) + "\x02").encode().decode("latin-1").translate(VISIBLE)
+            told = SIGNS.sub(" \\1\x02", "\x02".join(plain) + "\x02")
+            told = SHOWN[np.frombuffer(told.encode(), np.uint8)].tobytes().decode("utf-32-le")
             told = ("\x02" + told[:-1]).replace("\x02\x00", f"\x03{HIDDEN[10]} ").replace("\x02\x01", "\x03").replace("\x02", f"\x03{HIDDEN[32]}").replace("\x03", " \xff ")
             ids = np.asarray(self.by_piece.encode_batch_fast([told], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends, raw = (np.flatnonzero(ids == self.mark) * 4).tolist(), ids.tobytes()
-            made.update(zip(plain, (raw[a + 4 : b] for a, b in zip(ends, [*ends[1:], len(raw)], strict=True)), strict=True))
-        return made
+            ends = np.flatnonzero(ids == self.mark)
+            if len(plain) == len(words):
+                return np.diff(np.append(ends, len(ids))).astype(np.int32) - 1, ids[ids != self.mark]
+            raw, bounds = ids.tobytes(), [*(ends * 4).tolist(), 4 * len(ids)]
+            by_word = dict(zip(plain, (raw[a + 4 : b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)), strict=True))
+            made = [by_word[w] if w in by_word else self._word(w) for w in words]
+        return np.fromiter(map(len, made), np.int32, len(made)) // 4, np.frombuffer(b"".join(made), dtype="<u4")
 
     def _usual(self, text: str) -> bool:
         many = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[-1:] in ("", " ", "\n")
@@ -135,24 +143,34 @@ class Encoder:
     def _together(self, texts: list[str]) -> Iterator[bytes]:
         cut = pc.split_pattern(pa.array(["\x01" + t.replace("\n", " \x00") for t in texts], pa.large_string()), " ")
         coded = cut.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        found = list(map(self.words.get, words))
-        learned = self._learn([w for w, b in zip(words, found, strict=True) if b is None])
-        found = [learned[w] if b is None else b for w, b in zip(words, found, strict=True)]
-        self.words.trim()
-        self.words.update((w, b) for w, b in learned.items() if len(w) <= LONGEST)
-        # each word's ids, one after another, gathered in the order of the texts
-        ids, sizes = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int32, len(found)) // 4
-        at, order = (np.cumsum(sizes) - sizes).astype(np.int32), coded.indices.to_numpy()
+        # each different word's place among those that are known and, behind these, the new ones
+        found = pc.index_in(coded.dictionary, value_set=self.words)
+        new = coded.dictionary.filter(found.is_null())
+        new_sizes, new_ids = self._learn(new.to_pylist())
+        sizes, ids = np.concatenate([self.sizes, new_sizes]), np.concatenate([self.ids, new_ids])
+        place = found.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        place[place < 0] = np.arange(len(self.words), len(sizes), dtype=place.dtype)
+        # each word's ids, gathered in the order of the texts
+        order, at = place[coded.indices.to_numpy()], np.cumsum(sizes, dtype=np.int64) - sizes
         n = sizes[order]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        place = np.repeat(at[order] - ends[:-1].astype(np.int32), n)
-        place += np.arange(len(place), dtype=np.int32)
-        gathered = ids[place]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        gather = np.repeat((at[order] - ends[:-1]).astype(np.int32), n)
+        gather += np.arange(len(gather), dtype=np.int32)
+        gathered = ids[gather]
         bounds = ends[cut.offsets.to_numpy()].tolist()
+        self._remember(pa.concat_arrays([self.words, new]), sizes, ids)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             yield gathered[a:b].tobytes()
 
+    def _remember(self, words: pa.LargeStringArray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Of more than REMEMBERED words, or more than they should take, the first two thirds stay, or none if these take too much."""
+        if len(words) > REMEMBERED or words.nbytes > MOST_WORDS:
+            words, sizes = pa.concat_arrays([words.slice(0, REMEMBERED * 2 // 3)]), sizes[: REMEMBERED * 2 // 3]
+            ids = ids[: int(sizes.sum())].copy()
+            if words.nbytes > MOST_WORDS:
+                words, sizes, ids = words.slice(0, 0), sizes[:0], ids[:0]
+        self.words, self.sizes, self.ids = words, sizes, ids
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
