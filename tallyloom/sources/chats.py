@@ -58,7 +58,8 @@ def read_chat_csv(spark: SparkSession, paths: str | list[str], na_compat: bool =
 
 def _csv_of_one_header(spark: SparkSession, paths: list[str], first: str, na_compat: bool) -> DataFrame:
     # the header is known, so that no file is read for its columns
-    have = {name.lower(): f"c{i}" for i, name in enumerate(names := next(csv.reader([first])))}
+    names = next(csv.reader([first]))
+    have = {name.lower(): f"c{i}" for i, name in enumerate(names)}
     shape = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     rows = spark.read.schema(shape).csv(paths, header=True, enforceSchema=True, multiLine=True, encoding="UTF-8", quote='"', escape='"')
     cell = lambda name: F.col(f"`{have[name]}`") if name in have else F.lit("")
@@ -74,22 +75,31 @@ def _csv_of_one_header(spark: SparkSession, paths: list[str], first: str, na_com
     return rows.select(*told)
 
 
+def _said(line: str) -> tuple:
+    """(user, message, date, has_date, bad) of a line."""
+    try:
+        said = ast.literal_eval(line)
+    except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+        return None, None, None, False, True
+    text = lambda v: None if v is None else str(v)
+    return (text(said.get("user")), text(said.get("message")), text(said.get("date")), "date" in said, False) if isinstance(said, dict) else (None, str(said), None, False, False)
+
+
+LINE_COLUMNS = ["file", "ord", "user", "message", "date", "has_date", "bad", "line", "path"]
+
+
 def _literals(batches):
     for files in batches:
         out = []
         for path, name, raw in zip(files["path"], files["file"], files["content"], strict=True):
-            for at, line in enumerate(bytes(raw).decode("utf-8").splitlines()):
-                line = line.strip()
-                if not line:
-                    continue
-                try:
-                    said = ast.literal_eval(line)
-                    text = lambda v: None if v is None else str(v)
-                    kept = (text(said.get("user")), text(said.get("message")), text(said.get("date")), "date" in said) if isinstance(said, dict) else (None, str(said), None, False)
-                    out.append((name, at, *kept, False, line, path))
-                except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
-                    out.append((name, at, None, None, None, False, True, line, path))
-        yield pd.DataFrame(out, columns=["file", "ord", "user", "message", "date", "has_date", "bad", "line", "path"])
+            lines = ((at, line.strip()) for at, line in enumerate(bytes(raw).decode("utf-8").splitlines()))
+            out += [(name, at, *_said(line), line, path) for at, line in lines if line]
+        yield pd.DataFrame(out, columns=LINE_COLUMNS)
+
+
+def _literal_lines(batches):
+    for b in batches:
+        yield pd.DataFrame([(f, o, *_said(s), s, p) for f, o, s, p in zip(b["file"], b["ord"], b["line"], b["path"], strict=True)], columns=LINE_COLUMNS)
 
 
 def read_chat_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -102,6 +112,21 @@ def read_chat_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.mapInPandas(_literals, LINES)
 
 
+def read_literals(lines: DataFrame) -> DataFrame:
+    """As read_chat_lines(), of lines that are rows already: (path, file, ord, line)."""
+    told = lines.select("file", F.col("ord").cast("long").alias("ord"), F.btrim("line").alias("line"), "path").where("line <> ''")
+    return told.mapInPandas(_literal_lines, LINES)
+
+
+#: Why a line is set aside.
+UNREADABLE, UNDATED = "not a literal", "date of no known shape"
+
+
+def fault(rows: DataFrame) -> Column:
+    """Why a line can't be used, null if it can: it is no literal, or it has a date that can't be read."""
+    return F.when(F.col("bad"), UNREADABLE).when(F.col("has_date") & parse_time(F.col("date")).isNull(), UNDATED)
+
+
 def in_range(rows: DataFrame, after=None, before=None, date: str = "date", strict: bool = True) -> DataFrame:
     """Rows from after to before, both included, as times without a zone; without either, all rows.
 
