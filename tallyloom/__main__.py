@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--before")
     p.add_argument("--codes", help="Parquet table of address and zip_code")
     p.add_argument("--out", required=True, help="folder of the sheet")
+    p.add_argument("--quarantine", help="folder for lines that can't be read; it must not be there yet")
     p.add_argument("--db", help="folder of stored runs, to which this one is added")
     p.add_argument("--job", default="", help="id of the stored run; else the time")
     p.add_argument("--user", default="")
@@ -73,7 +74,7 @@ def main(args: list[str] | None = None) -> None:
     if a.flow == "orders":
         s = Settings.load(a.settings) if a.settings else Settings()
         find = named(a.extractor) if a.extractor else extract.by_catalog({r["product"]: list(r["options"]) for r in read_catalog(spark, a.catalog).orderBy("ord").collect()})
-        made, said = chats.extract_orders(spark, a.chats, find, a.day, s, a.after, a.before, known)
+        made, said = chats.extract_orders(spark, a.chats, find, a.day, s, a.after, a.before, known, a.quarantine, lambda counts: print(json.dumps(counts)))
         # from 1000 on, numbers have more digits: shorter ones come first
         write_xlsx(orders.sheet(made.orderBy(F.length("order_number"), "order_number", "item_no"), s.columns), a.out, s.sheet, (ZIP,))
         if a.db:

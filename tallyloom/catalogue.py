@@ -15,7 +15,9 @@ from tallyloom.functions import text
 from tallyloom.operators import catalog, extract, files, history, matching, messages, numbering, orders, zipcodes
 from tallyloom.operators.calls import Ledger, Policy
 from tallyloom.session import shared_folder
+from tallyloom.sources import chats as chat_files
 from tallyloom.sources.chats import in_range, lines_in_range
+from tallyloom.sources.quarantine import sort_out
 from tallyloom.sources.schemas import OUTPUT_COLUMNS
 from tallyloom.sources.store import Store
 
@@ -85,6 +87,23 @@ def line_time_range(spark, sf_dir):
     return lines_in_range(rows, AFTER, BEFORE).select("event_id", "date")
 
 
+@query(
+    f"SELECT reason, count(*) AS n, count(*) AS stored FROM (SELECT CASE event_type WHEN 'error' THEN '{chat_files.UNREADABLE}' WHEN 'signup' THEN '{chat_files.UNDATED}' END AS reason FROM events) WHERE reason IS NOT NULL GROUP BY reason "
+    "UNION ALL SELECT 'kept', count(*), count(*) FROM events WHERE event_type NOT IN ('error', 'signup')"
+)
+def bad_lines(spark, sf_dir):
+    """Lines of literals, of which errors miss their end and signups a date that can be read: what was counted on the way, and what was stored."""
+    rows = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    date = F.when(F.col("event_type") == "signup", "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    end = F.when(F.col("event_type") == "error", "").otherwise("}")
+    line = F.concat(F.lit("{'user': '"), F.col("user_id").cast("string"), F.lit("', 'message': '"), "event_type", F.lit("', 'date': '"), date, F.lit("'"), end)
+    said = chat_files.read_literals(rows.select(F.lit("events").alias("path"), F.lit("events").alias("file"), F.col("event_id").alias("ord"), line.alias("line")))
+    done = sort_out(said, chat_files.fault(said), [chat_files.UNREADABLE, chat_files.UNDATED], f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}")
+    seen = spark.createDataFrame([(r, n) for r, n in done.counts.items() if r != "rows"], "reason string, n long")
+    stored = done.set_aside.groupBy("reason").agg(F.count("*").alias("stored")).union(done.kept.select(F.lit("kept"), F.lit(1)).groupBy("kept").agg(F.count("*")))
+    return seen.join(stored, "reason")
+
+
 @query("SELECT event_id, ts FROM events WHERE strftime(ts, '%Y-%m-%d %H:%M:%S') >= '2024-01-05 00:00:00'")
 def converter_time_after(spark, sf_dir):
     return in_range(read(spark, sf_dir, "events", "event_id", "ts"), AFTER, date="ts")

@@ -12,7 +12,8 @@ from tallyloom.functions.text import chat_name, date_slug, file_time, nickname,
 from tallyloom.operators import catalog, history, messages, orders, zipcodes
 from tallyloom.operators.extract import extracted
 from tallyloom.operators.files import deduplicate_uploads
-from tallyloom.sources.chats import in_range, lines_in_range, literal_path, read_chat_csv, read_chat_lines, write_chat_lines
+from tallyloom.sources.chats import UNDATED, UNREADABLE, fault, in_range, lines_in_range, literal_path, read_chat_csv, read_chat_lines, write_chat_lines
+from tallyloom.sources.quarantine import sort_out
 from tallyloom.sources.schemas import ADDRESS, OPTIONS, PRODUCT, STORED_CATALOG, ZIP
 from tallyloom.sources.settings import Settings
 from tallyloom.sources.stock import read_stock
@@ -28,6 +29,8 @@ def extract_orders(
     after=None,
     before=None,
     zip_service: zipcodes.Service | None = None,
+    quarantine: str | None = None,
+    told: Callable[[dict[str, int]], None] = lambda counts: None,
 ) -> tuple[DataFrame, DataFrame]:
     """(orders, chats) out of chat files. orders has a row for each item, in ORDERS' fields besides time and live_time; chats has results and errors.
 
@@ -35,7 +38,8 @@ def extract_orders(
     between after and before, both included, go to the extractor, those of CSV files normalised and without system
     messages, lines as they stand; a chat without any is asked about too. A CSV chat's time is its last row's, that of
     lines is in the file's name. Chats are numbered in order of the files, which is that of paths for uploads of different
-    names. Postal codes are looked up for search addresses where there is a service.
+    names. Postal codes are looked up for search addresses where there is a service. With a quarantine, a folder that isn't
+    there yet, lines that can't be read, or whose dates can't, are set aside there with the reason, and `told` gets their counts.
     """
     s = settings or Settings()
     files = manifest(spark, paths)
@@ -49,7 +53,13 @@ def extract_orders(
         times.append(messages.last_time(rows, chat="display"))
         kept.append(messages.normalised(in_range(rows, after, before), s.exclude))
     if other:
-        rows = _of_files(read_chat_lines(spark, other), known)
+        rows = read_chat_lines(spark, other)
+        if quarantine is not None:
+            done = sort_out(rows, fault(rows), [UNREADABLE, UNDATED], quarantine)
+            told(done.counts)
+            # undated lines stay where no bound is given, as without a quarantine
+            rows = done.kept if after or before else done.kept.unionByName(done.set_aside.where(F.col("reason") == UNDATED).drop("reason"))
+        rows = _of_files(rows, known)
         times.append(named.where(suffix(F.col("display")) != ".csv").select("display", file_time(F.col("display"), strict=False).alias("time")))
         kept.append(lines_in_range(rows, after, before))
     kept = reduce(DataFrame.unionByName, [k.select("display", "ord", "user", "message") for k in kept])
@@ -60,8 +70,8 @@ def extract_orders(
     done = extracted(chats.withColumn("messages", F.coalesce("messages", none)), extract)
     is_csv = suffix(F.col("display")) == ".csv"
     name = F.when(is_csv, chat_name(F.col("display"), s.prefix)).otherwise(chat_name(F.col("display")))
-    told = done.withColumns({"chat_name": name, "live_time": F.lit(after).cast("timestamp_ntz")})
-    made = orders.explode_items(orders.number_orders(told, day))
+    named_chats = done.withColumns({"chat_name": name, "live_time": F.lit(after).cast("timestamp_ntz")})
+    made = orders.explode_items(orders.number_orders(named_chats, day))
     if zip_service is not None:
         made = zipcodes.look_up(made, zip_service, address="search_address")
     return made, done.withColumnRenamed("display", "file")
