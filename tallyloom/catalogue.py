@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import catalog, extract, files, history, matching, messages, numbering, orders, zipcodes
+from tallyloom.operators import addresses, catalog, extract, files, history, matching, messages, numbering, orders, zipcodes
 from tallyloom.operators.calls import Ledger, Policy
 from tallyloom.session import shared_folder
 from tallyloom.sources import chats as chat_files
@@ -474,6 +474,32 @@ def zip_lookup_fallback(spark, sf_dir):
     return zipcodes.look_up(_addresses(spark, sf_dir), *_both_codes(spark, sf_dir))
 
 
+_WORDED = "CASE c_custkey % 5 WHEN 0 THEN n_name || ', ' || r_name WHEN 1 THEN substr(n_name, 1, 2) || substr(n_name, 4) || ' ' || r_name WHEN 2 THEN upper(r_name) || ' ' || n_name || ' ' || c_mktsegment WHEN 3 THEN n_name ELSE c_mktsegment END"
+_G = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({a}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 1), lambda i: substr('^' || w || '$', i, 3)))))"
+
+
+@query(
+    f"WITH k AS (SELECT n_name || ' ' || r_name AS address, lpad((100 * n_nationkey + 7)::VARCHAR, 5, '0') AS code, {_G.format(a='address')} AS g FROM nation JOIN region ON n_regionkey = r_regionkey), "
+    f"a AS (SELECT c_custkey, {_WORDED} AS address FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), "
+    f"q AS (SELECT DISTINCT address AS addr, {_G.format(a='address')} AS g FROM a), s AS (SELECT u AS x, count(*) AS known FROM (SELECT unnest(g) AS u FROM k) GROUP BY 1), "
+    "wk AS (SELECT address, code, u AS x, round(1000 * ln(1 + (SELECT count(*) FROM k) / coalesce(known, 1)))::BIGINT AS w FROM (SELECT address, code, unnest(g) AS u FROM k) LEFT JOIN s ON u = x), "
+    "wq AS (SELECT addr, u AS x, round(1000 * ln(1 + (SELECT count(*) FROM k) / coalesce(known, 1)))::BIGINT AS w FROM (SELECT addr, unnest(g) AS u FROM q) LEFT JOIN s ON u = x), "
+    "tk AS (SELECT address, code, sum(w) AS t FROM wk GROUP BY ALL), tq AS (SELECT addr, sum(w) AS t FROM wq GROUP BY ALL), "
+    "p AS (SELECT addr, address, code, 2.0 * sum(wq.w) / (any_value(tq.t) + any_value(tk.t)) AS near FROM wq JOIN wk USING (x) JOIN tk USING (address, code) JOIN tq USING (addr) GROUP BY ALL), "
+    "b AS (SELECT addr, first(code ORDER BY near DESC, address) AS code FROM p WHERE near >= 0.6 GROUP BY addr) "
+    "SELECT c_custkey, address, coalesce(code, '') AS zip_code FROM a LEFT JOIN b ON addr = address"
+)
+def zip_lookup_nearest(spark, sf_dir):
+    """Codes of addresses with letters or parts missing, or more parts than the table's, by the nearest address of the table."""
+    nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    kind, n = F.col("c_custkey") % 5, F.col("n_name")
+    worded = F.when(kind == 0, F.concat(n, F.lit(", "), "r_name")).when(kind == 1, F.concat(F.substring(n, 1, 2), F.substring(n, 4, 100), F.lit(" "), "r_name"))
+    worded = worded.when(kind == 2, F.concat(F.upper("r_name"), F.lit(" "), n, F.lit(" "), "c_mktsegment")).when(kind == 3, n).otherwise(F.col("c_mktsegment"))
+    known = nation.select(F.concat(n, F.lit(" "), "r_name").alias("address"), (100 * F.col("n_nationkey") + 7).alias("zip_code"))
+    return zipcodes.look_up(rows.select("c_custkey", worded.alias("address")), addresses.from_index(known))
+
+
 @query(f"SELECT count(*) FILTER (zip_code <> '') AS found, count(*) FILTER (zip_code = '') AS missed FROM ({_joined('0, 1')})")
 def zip_found_missed(spark, sf_dir):
     return zipcodes.found_missed(zip_lookup_fallback(spark, sf_dir))
