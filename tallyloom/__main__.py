@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--catalog", required=True, help="JSON file")
     p.add_argument("--day", required=True, help="YYYYMMDD of the order numbers")
     p.add_argument("--extractor", help="module:function that takes a chat's messages; else products are found by name")
-    p.add_argument("--settings", help="JSON or YAML file")
+    p.add_argument("--settings", help="JSON, TOML or YAML file")
     p.add_argument("--after")
     p.add_argument("--before")
     p.add_argument("--codes", help="Parquet table of address and zip_code")
@@ -62,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--db", required=True, help="folder of stored runs")
     p.add_argument("--user", default="")
     p.add_argument("--job", help="id of the run to write")
-    p.add_argument("--settings", help="JSON or YAML file")
+    p.add_argument("--settings", help="JSON, TOML or YAML file")
     p.add_argument("--out", help="folder")
     return top
 
@@ -73,13 +73,14 @@ def main(args: list[str] | None = None) -> None:
     known = zipcodes.from_table(spark.read.parquet(a.codes)) if getattr(a, "codes", None) else None
     if a.flow == "orders":
         s = Settings.load(a.settings) if a.settings else Settings()
-        find = named(a.extractor) if a.extractor else extract.by_catalog({r["product"]: list(r["options"]) for r in read_catalog(spark, a.catalog).orderBy("ord").collect()})
+        # a catalog that is a file's single JSON object is read by one task already
+        listed = read_catalog(spark, a.catalog).orderBy("ord").collect()
+        find = named(a.extractor) if a.extractor else extract.by_catalog({r["product"]: list(r["options"]) for r in listed})
         made, said = chats.extract_orders(spark, a.chats, find, a.day, s, a.after, a.before, known, a.quarantine, lambda counts: print(json.dumps(counts)))
         # from 1000 on, numbers have more digits: shorter ones come first
         write_xlsx(orders.sheet(made.orderBy(F.length("order_number"), "order_number", "item_no"), s.columns), a.out, s.sheet, (ZIP,))
         if a.db:
             as_of = datetime.now().isoformat()
-            listed = read_catalog(spark, a.catalog).orderBy("ord").collect()
             catalog_json = json.dumps([{PRODUCT: r["product"], OPTIONS: list(r["options"])} for r in listed], ensure_ascii=False)
             chats.store_run(made, said, a.db, a.job or as_of, a.user, catalog_json, as_of, a.title, a.after, a.model)
     elif a.flow == "catalog":

@@ -1,8 +1,9 @@
-"""Settings of a run, given as a JSON or YAML file or in code; secrets are arguments of the functions that need them."""
+"""Settings of a run, given as a JSON, TOML or YAML file or in code; secrets are arguments of the functions that need them."""
 
 from __future__ import annotations
 
 import json
+import tomllib
 from dataclasses import dataclass, field
 
 from tallyloom.sources.schemas import OUTPUT_COLUMNS
@@ -20,7 +21,13 @@ class Settings:
 
     @classmethod
     def load(cls, path: str) -> Settings:
-        """The settings of a JSON file in this class's fields, or of a YAML file in sections: csv, output and output_columns."""
+        """The settings of a JSON file in this class's fields, or of a TOML or YAML file in sections: csv, output and output_columns.
+
+        Other sections, such as those of secrets, are left alone. TOML has no null: a column without a field is an empty text there.
+        """
+        if path.endswith(".toml"):
+            with open(path, "rb") as f:
+                return cls.of_sections(tomllib.load(f))
         with open(path, encoding="utf-8") as f:
             if not path.endswith((".yaml", ".yml")):
                 return cls(**json.load(f))
@@ -34,4 +41,6 @@ class Settings:
     def of_sections(cls, told: dict) -> Settings:
         csv, output = told.get("csv") or {}, told.get("output") or {}
         given = {"prefix": csv.get("filename_prefix"), "exclude": csv.get("exclude_messages"), "columns": told.get("output_columns"), "sheet": output.get("sheet_name"), "file": output.get("file_name")}
+        if given["columns"] is not None:
+            given["columns"] = {name: column or None for name, column in given["columns"].items()}
         return cls(**{k: v for k, v in given.items() if v is not None})

@@ -214,6 +214,12 @@ def test_settings_of_both_kinds(tmp_path):
     assert Settings.load(str(tmp_path / "s.yaml")) == want
 
 
+def test_settings_in_toml(tmp_path):
+    path = put(tmp_path / "s.toml", '[csv]\nfilename_prefix = "shop_"\nexclude_messages = ["system"]\n[output]\nsheet_name = "s"\n[output_columns]\n"주문번호" = "order_number"\n"빈칸" = ""\n[secrets]\nkey = "not kept"\n', "utf-8")
+    s = Settings.load(path)
+    assert (s.prefix, s.exclude, s.sheet, s.columns) == ("shop_", ["system"], "s", {"주문번호": "order_number", "빈칸": None})
+
+
 def test_bounds_are_included_and_bad_dates_raise(spark):
     rows = spark.createDataFrame([("2026-03-12 10:00:00",), ("2026-03-12 11:00:00",), ("2026-03-12 12:00:00",), (None,)], "date string")
     assert lines.in_range(rows, "2026-03-12 10:00:00", "2026-03-12 11:00:00").count() == 2
