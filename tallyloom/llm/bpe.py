@@ -1,8 +1,8 @@
 """BPE encoding and decoding of whole texts with a public vocabulary whose words end in a suffix.
 
 Merging uses a segment tree over the ranks of adjacent pairs: a leaf holds (rank, position) as one integer, an inner
-node the lesser of its children, so that the root names the leftmost pair of the lowest rank. A merge changes at most
-three leaves, each with a walk to the root. Spark spreads the texts; each Python worker keeps the ids of words that it
+node the least of its sixteen children, so that the root names the leftmost pair of the lowest rank. A merge changes at
+most three leaves, each with a walk to the root; most words have the root only. Spark spreads the texts; each Python worker keeps the ids of words that it
 has met, in a dictionary of bounded size.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import Remembered, map_lists
 
 NONE = 1 << 62
+#: Children of a node of the segment tree.
+CHILDREN = 16
 #: Letters and numbers that are newer than Python's tables, but known where the vocabulary was made; and what
 #: the upper-case ones among such characters become in lower case, as ranges and their first counterparts.
 KNOWN = (
@@ -43,54 +45,71 @@ def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list
     n = len(ids)
     if n < 2:
         return ids
-    ids, get = list(ids), pairs.get
-    width = 1 << (n - 2).bit_length() if n > 2 else 1
-    shift = width.bit_length()
-    tree = [NONE] * (2 * width)
-    for i in range(n - 1):
-        found = get((ids[i], ids[i + 1]))
-        if found:
-            tree[width + i] = found[0] << shift | i
-    for k in range(width - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
+    if n <= CHILDREN + 1:
+        return merge_in_root(ids, pairs)
+    ids, get, shift = list(ids), pairs.get, n.bit_length()
+    leaves = [found[0] << shift | i if (found := get(p)) else NONE for i, p in enumerate(zip(ids, ids[1:], strict=False))]
+    # levels of the tree from the leaves up; the root is the least of the last one
+    levels = [leaves]
+    while len(levels[-1]) > CHILDREN:
+        below = levels[-1]
+        levels.append([min(below[k : k + CHILDREN]) for k in range(0, len(below), CHILDREN)])
+    top, steps = levels[-1], list(zip(levels, levels[1:], strict=False))
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     mask = (1 << shift) - 1
 
-    def put(i: int, value: int) -> None:
-        k = width + i
-        if tree[k] == value:
-            return
-        tree[k] = value
-        while k > 1:
-            other = tree[k ^ 1]
-            k >>= 1
-            least = value if value < other else other
-            if tree[k] == least:
+    def walk(i: int) -> None:
+        for below, above in steps:
+            i //= CHILDREN
+            least = min(below[i * CHILDREN : (i + 1) * CHILDREN])
+            if above[i] == least:
                 return
-            tree[k] = value = least
+            above[i] = least
 
-    while (root := tree[1]) < NONE:
+    while (root := min(top)) < NONE:
         i = root & mask
         j = after[i]
-        ids[i] = get((ids[i], ids[j]))[1]
+        ids[i] = merged = get((ids[i], ids[j]))[1]
         ids[j] = -1
         k = after[i] = after[j]
+        leaves[i] = NONE
         if k < n:
             before[k] = i
-            found = get((ids[i], ids[k]))
-            put(i, found[0] << shift | i if found else NONE)
-        else:
-            put(i, NONE)
+            found = get((merged, ids[k]))
+            if found:
+                leaves[i] = found[0] << shift | i
         if j < n - 1:
-            put(j, NONE)
+            leaves[j] = NONE
         h = before[i]
         if h >= 0:
-            found = get((ids[h], ids[i]))
-            put(h, found[0] << shift | h if found else NONE)
+            found = get((ids[h], merged))
+            leaves[h] = found[0] << shift | h if found else NONE
+        if steps:
+            walk(i)
+            if j < n - 1:
+                walk(j)
+            if h >= 0:
+                walk(h)
     return [x for x in ids if x >= 0]
 
 
+def merge_in_root(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """merge() where the root is the only node: a leaf holds (rank, merged), and leaves close up, so that places needn't be kept."""
+    ids, get = list(ids), pairs.get
+    leaves = [found[0] << 32 | found[1] if (found := get(p)) else NONE for p in zip(ids, ids[1:], strict=False)]
+    while leaves and (root := min(leaves)) < NONE:
+        i = leaves.index(root)
+        ids[i] = merged = root & 0xFFFFFFFF
+        del ids[i + 1], leaves[i]
+        if i < len(leaves):
+            found = get((merged, ids[i + 1]))
+            leaves[i] = found[0] << 32 | found[1] if found else NONE
+        if i:
+            found = get((ids[i - 1], merged))
+            leaves[i - 1] = found[0] << 32 | found[1] if found else NONE
+    return ids
+
+
 def ranges(characters: list[str]) -> str:
     """Sorted characters as the ranges of a pattern's class."""
     found: list[list[int]] = []
@@ -138,7 +157,8 @@ class WordBpe:
             split = split.replace(kind, f"[{kind}--[{unknown}]]" if unknown else kind)
         self.new_words = regex.compile(split, regex.V1).findall
         self.lower = {int(a, 16) + k: int(c, 16) + k for a, b, c in (regex.split("[-=]", r) for r in LOWER.split()) for k in range(int(b, 16) - int(a, 16) + 1)}
-        self.space = regex.compile(r"\p{White_Space}+")
+        # single spaces are as they should be
+        self.space = regex.compile(r"[^\P{White_Space} ]\p{White_Space}*| \p{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")") if self.special else None
         self.kept = Remembered(REMEMBERED)
 
@@ -164,7 +184,10 @@ class WordBpe:
 
     def decode(self, ids) -> str:
         """Tokens joined by a space, as for a vocabulary file that names no decoder; unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
     def encode_decode(self, text: str | None) -> tuple[bytes, str]:
         """The ids as packed 32-bit integers, and their decoded text."""
@@ -174,10 +197,11 @@ class WordBpe:
         for k, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else [text]):
             words += [part] if k % 2 else self.split(part)
         kept = self.kept
-        new = set(words).difference(kept)
+        # asked word by word: set.difference reads all of a dictionary of another class than dict
+        new = {w for w in words if w not in kept}
         if new:
             kept.trim()
-            new = set(words).difference(kept)
+            new = {w for w in words if w not in kept}
         for w in new:
             kept[w] = array("i", [self.special[w]] if w in self.special else self.word(w)).tobytes()
         ids = b"".join([kept[w] for w in words])

@@ -54,6 +54,29 @@ def test_bpe_same_as_library(spark, odd, library):
     assert bpe.encode_decode(docs.limit(0), registry.vocabulary()).collect() == []
 
 
+def test_bpe_asks_for_words_one_by_one():
+    """No text costs a walk through all words that are remembered."""
+
+    class Asked(bpe.Remembered):
+        def __iter__(self):
+            raise AssertionError("all remembered words were read")
+
+    own = bpe.WordBpe(registry.vocabulary())
+    own.kept = Asked(100)
+    first = own.encode_decode("some words, and some more words")
+    assert first[0] and own.encode_decode("some words, and some more words") == first
+
+
+def test_bpe_merges_in_a_tree_of_any_depth(library):
+    """Words of more pairs than a node, or a level of nodes, has children."""
+    rng = random.Random(17)
+    own = bpe.WordBpe(registry.vocabulary())
+    for n in (15, 16, 17, 18, 255, 256, 257, 258, 4100, 5000):
+        text = "".join(rng.choices("etaoinshrdlu", k=n))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert list(memoryview(own.encode_decode(text)[0]).cast("i")) == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80))
 def test_bpe_any_text(library, text):
