@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text
 from tallyloom.operators import addresses, catalog, extract, files, history, matching, messages, numbering, orders, zipcodes
 from tallyloom.operators.calls import Ledger, Policy
-from tallyloom.session import shared_folder
+from tallyloom.session import shared_folder, spread
 from tallyloom.sources import chats as chat_files
 from tallyloom.sources.chats import in_range, lines_in_range
 from tallyloom.sources.quarantine import sort_out
@@ -371,7 +371,7 @@ _SAID_NAMES = "(SELECT p_name AS name FROM part UNION SELECT split_part(p_name,
 
 def _said(spark, sf_dir) -> DataFrame:
     """A message for each order line: names of its part by themselves, and within longer words."""
-    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).join(read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     parts = ["p_name", F.lit("s, no "), "p_brand", F.lit(" but "), F.col("l_linenumber").cast("string"), F.lit(" "), "p_name", F.lit(" and "), F.col("l_quantity").cast("long").cast("string"), F.lit("x "), "p_brand", "p_type", F.lit(", small"), "p_name", F.lit(" "), "p_brand"]
     return rows.select("l_orderkey", "l_linenumber", F.concat(*parts).alias("message"))
 
@@ -397,7 +397,7 @@ def extract_by_catalog(spark, sf_dir):
     """Items said in messages, by a catalog of part names with their brands as options; the second one is said without brand or number."""
     part = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
     listed = catalog.build(part.select("p_name", "p_brand", F.col("p_partkey").alias("ord")), "p_name", "p_brand").select("product", "options")
-    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     said = F.concat(F.lit("please, "), "p_name", F.lit(": "), "p_brand", F.lit(" x "), F.col("l_quantity").cast("long").cast("string"), F.lit(". And a "), "p_name", F.lit(", thanks"))
     return matching.catalog_items(rows.select("l_orderkey", "l_linenumber", said.alias("message")), listed).drop("message")
 

@@ -36,3 +36,9 @@ def once(df: DataFrame) -> DataFrame:
     """df, checkpointed: a step that calls a service runs once, whatever reads it and whichever executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it is read, for a step that takes long for each row: one of fewer partitions than there are cores is dealt to all of them."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -56,6 +56,21 @@ def test_items_of_a_catalog(spark):
     assert {t: [(i["product"], i["option"], i["volume"]) for i in find([{"user": "u", "message": t}])["items"]] for t in said} == said
 
 
+def test_options_are_found_without_patterns(monkeypatch):
+    """A pattern for each option of each message would be compiled again and again."""
+    monkeypatch.setattr(matching.re, "finditer", lambda *a: pytest.fail("a pattern was made"))
+    assert matching.option_of(" a.b+ 3", ["a.b+", "a.b", "axb"]) == ("a.b+", 3)
+    assert list(matching.places("aaaaa", "aa")) == [(0, 2), (2, 4)]
+
+
+@pytest.mark.parametrize("name", ["catalog_matches", "extract_by_catalog"])
+def test_messages_of_one_file_are_dealt_to_all_cores(spark, name):
+    from tallyloom import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan
+
+
 def test_work_grows_with_the_text_not_with_the_names():
     import time
 
