@@ -75,3 +75,18 @@ def test_totals_of_few_jobs_shuffle_only_their_orders(spark, tmp_path):
     plan = made._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Scan parquet") - 600 :]
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in below[: below.index("Scan parquet")].split("BroadcastHashJoin")[-1]
+
+
+def test_stored_jobs_joins_once(spark, monkeypatch):
+    """Orders are joined to their jobs before the jobs are stored, not again for each."""
+    from tallyloom import catalogue
+
+    plans_of, stage = [], Store.stage
+
+    def watched(self, job_id, tables):
+        plans_of.append(tables["extracted_orders"]._jdf.queryExecution().optimizedPlan().toString())
+        return stage(self, job_id, tables)
+
+    monkeypatch.setattr(Store, "stage", watched)
+    catalogue.QUERIES["stored_jobs"](spark, "/root/testdata/sf0.001")
+    assert len(plans_of) == 4 and not any("Join" in p for p in plans_of)
